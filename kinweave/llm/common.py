@@ -179,3 +179,35 @@ def pieces(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES) -> Iterato
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+def split(df: DataFrame, h: str, keys: DataFrame, limit: int = FILTER_LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``df`` whose key ``h`` may be among ``keys`` (one column of hashes), and those for which it surely isn't.
+
+    Where the filter would be too large to broadcast, all rows come first and the second is None: what follows then shuffles
+    more rows and gives the same result.
+    """
+    found = KeyFilter(keys, limit=limit)
+    if not found.usable:
+        return df, None
+    (flag,) = fresh(df, "flag")
+    marked = df.withColumn(flag, found.holds(F.col(h)))
+    return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
+
+
+def join_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """Join on pairs of column names of either side; nulls are equal. Right's names must be fresh in left."""
+    on = None
+    for a, b in pairs:
+        one = left[a].eqNullSafe(right[b])
+        on = one if on is None else on & one
+    return left.join(right, on, how)
+
+
+def without(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = FILTER_LIMIT) -> DataFrame:
+    """docs less the documents of ``gone`` (doc_id, h of text_hash). Only rows that the key filter holds shuffle."""
+    h, gd, gh = fresh(docs, "h", "gone_id", "gone_h")
+    gone = gone.select(F.col("doc_id").alias(gd), F.col("h").alias(gh)).distinct()
+    maybe, sure = split(docs.withColumn(h, text_hash(text)), h, gone.select(gh), limit)
+    left = join_keys(maybe, gone, [(h, gh), (doc_id, gd)], "left_anti").drop(h)
+    return left if sure is None else sure.drop(h).unionByName(left)

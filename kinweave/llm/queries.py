@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, simple8b, token_counts
+from . import exact_dedup, language_id, near_dedup, simple8b, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,12 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encode_documents(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.groups(documents(spark, sf_dir))
+    keep = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
+    return found.select("doc_id", F.col("keep_id").alias("group_id"), keep.alias("keep"), "group_size")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -37,6 +43,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simple8b,
+        op4_near_dedup,
         op7_exact_dedup,
         op9_token_counts,
         op10_language_id,
