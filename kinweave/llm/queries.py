@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, simple8b, token_counts
+from . import exact_dedup, language_id, near_dedup, simple8b, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encode_documents(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(documents(spark, sf_dir)).drop("h")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.groups(documents(spark, sf_dir))
     keep = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simple8b,
+        op3_suffix_dedup,
         op4_near_dedup,
         op7_exact_dedup,
         op9_token_counts,
