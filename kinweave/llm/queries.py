@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, simple8b, suffix_dedup, token_counts
+from . import exact_dedup, language_id, near_dedup, packing, simple8b, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
         op3_suffix_dedup,
         op4_near_dedup,
         op7_exact_dedup,
+        op8_best_fit_packing,
         op9_token_counts,
         op10_language_id,
     )
