@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, simple8b, suffix_dedup, token_counts
+from . import exact_dedup, language_id, line_dedup, near_dedup, packing, simple8b, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("keep_id").alias("group_id"), keep.alias("keep"), "group_size")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
         op1_simple8b,
         op3_suffix_dedup,
         op4_near_dedup,
+        op5_line_dedup,
         op7_exact_dedup,
         op8_best_fit_packing,
         op9_token_counts,
