@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, near_dedup, packing, simple8b, suffix_dedup, token_counts
+from . import exact_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, simple8b, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encode_documents(documents(spark, sf_dir))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.containments(fingerprints.fingerprints(documents(spark, sf_dir)))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(documents(spark, sf_dir)).drop("h")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simple8b,
+        op2_fingerprints,
         op3_suffix_dedup,
         op4_near_dedup,
         op5_line_dedup,
