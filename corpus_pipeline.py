@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import exact_dedup, language_id
+from kinweave.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
 from kinweave.llm.common import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,7 +23,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language", keep_languages), ("exact", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near dedup: of each group of near copies the document with the smallest doc_id stays."""
+    return near_dedup.near_dedup(docs)
+
+
+def delete_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: passages that occur before are deleted; the documents stay with what is left of them."""
+    return suffix_dedup.suffix_dedup(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", keep_languages),
+    ("exact", drop_copies),
+    ("near", drop_near_copies),
+    ("repeats", delete_repeats),
+    ("packing", pack),
+]
 
 #: None: packing, near dedup and rank-order profiles can't be put in SQL; tests hold run() against brute force.
 ORACLE_SQL: str | None = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, simple8b, suffix_dedup, token_counts
+from . import exact_dedup, fingerprints, language_id, line_dedup, merge_replay, near_dedup, packing, simple8b, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
 
+def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.encode_documents(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op3_suffix_dedup,
         op4_near_dedup,
         op5_line_dedup,
+        op6_merge_replay,
         op7_exact_dedup,
         op8_best_fit_packing,
         op9_token_counts,
