@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, col, cut, fresh, join_keys, pieces, split, text_hash
-from .kernels import SPACE, U, mix, powers, ranges, sliding, spans, word_hashes
+from .kernels import U, mix, powers, ranges, sliding, span_hash, spans, word_hashes
 
 #: Words of a repeated passage at least, and of an anchor.
 LENGTH, ANCHOR = 50, 20
@@ -58,21 +58,25 @@ def anchors(h: np.ndarray, words: np.ndarray, length: int = LENGTH, size: int =
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ordered by their first ``depth`` symbols at least, by prefix doubling."""
+    """Suffixes ordered by their first ``depth`` symbols at least, by prefix tripling: three ranks make one sort key."""
     n = len(s)
     _, rank = np.unique(s, return_inverse=True)
-    rank, k = rank.astype(np.int64), 1
+    rank, k = rank.astype(np.int64) + 1, 1
     order = np.argsort(rank, kind="stable")
+    ways = 3 if n < (1 << 21) - 2 else 2
+    bits = U(n + 1).item().bit_length()
     while k < depth:
-        second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1
-        key = rank * (n + 2) + second
+        key = rank << bits * (ways - 1)
+        for j in range(1, ways):
+            if j * k < n:
+                key[: n - j * k] |= rank[j * k :] << bits * (ways - 1 - j)
         order = np.argsort(key)
         sorted_ = key[order]
-        new = np.cumsum(np.concatenate([[0], (sorted_[1:] != sorted_[:-1]).astype(np.int64)]))
+        new = np.cumsum(np.concatenate([[1], (sorted_[1:] != sorted_[:-1]).astype(np.int64)]))
+        rank = np.empty(n, np.int64)
         rank[order] = new
-        k *= 2
-        if new[-1] == n - 1:
+        k *= ways
+        if new[-1] == n:
             break
     return order
 
@@ -105,66 +109,91 @@ def expand(s: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return ~set_[:n]
 
 
-def repeats(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Class and place (in the concatenation of the segments) of every run of ``length`` words that occurs at least twice."""
+def classes(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, segment and place in it of every run of ``length`` words; equal runs have the same class."""
     n = len(segments)
     sizes = np.array([len(x) for x in segments])
-    flat = np.full(int(sizes.sum()) + n, 0, np.int64)
+    flat = np.zeros(int(sizes.sum()) + n, np.int64)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     flat[ranges(begin, sizes)] = np.concatenate(segments).astype(np.int64) + n
-    flat[begin + sizes] = np.arange(n)
+    flat[begin + sizes] = np.arange(n)  # each segment ends with a symbol of its own
     order = suffix_array(flat, length)
-    same = expand(flat, order, length)
-    member = same.copy()
-    member[:-1] |= same[1:]
-    where = np.flatnonzero(member)
-    return np.cumsum(~same)[where], order[where]
-
-
-def repeats_by_hash(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """As ``repeats``, by hashes of the runs."""
-    place, hashes, at = [], [], 0
-    for x in segments:
-        if len(x) >= length:
-            place.append(at + np.arange(len(x) - length + 1))
-            hashes.append(gram_hashes(mix(x.astype(np.uint64) + U(1)), length))
-        at += len(x) + 1
-    _, back, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    on = np.flatnonzero(counts[back] > 1)
-    return back[on], np.concatenate(place)[on]
-
-
-def _marks(segments, docs, offsets, length, big):
-    """(segment's doc, from, to, first's doc, from) for every stretch of runs that aren't their class's first."""
-    cls, place = (repeats_by_hash if big else repeats)(segments, length)
-    if not len(cls):
-        return None
-    sizes = np.array([len(x) + 1 for x in segments])
-    begin = np.cumsum(sizes) - sizes
-    seg = np.searchsorted(begin, place, "right") - 1
-    word = offsets[seg] + place - begin[seg]
-    doc = docs[seg]  # ranks of the documents in their order
-    by = np.lexsort((word, doc, cls))
-    cls, doc, word = cls[by], doc[by], word[by]
-    head = np.concatenate([[True], cls[1:] != cls[:-1]])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = (doc != doc[first]) | (word != word[first])
-    d, w, fd, fw = doc[later], word[later], doc[first][later], word[first][later]
-    if not len(d):
-        return None
-    by = np.lexsort((w, w - fw, fd, d))
-    d, w, fd, fw = d[by], w[by], fd[by], fw[by]
-    start = np.concatenate([[True], (d[1:] != d[:-1]) | (fd[1:] != fd[:-1]) | (w[1:] - fw[1:] != w[:-1] - fw[:-1]) | (w[1:] > w[:-1] + 1)])
-    s = np.flatnonzero(start)
-    e = np.append(s[1:], len(d)) - 1
-    return d[s], w[s], w[e] + length, fd[s], fw[s]
+    own = np.cumsum(~expand(flat, order, length))
+    seg = np.searchsorted(begin, order, "right") - 1
+    place = order - begin[seg]
+    on = place + length <= sizes[seg]
+    return own[on], seg[on], place[on]
+
+
+def classes_by_hash(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``classes``, by hashes of the runs."""
+    runs = [gram_hashes(mix(x.astype(np.uint64) + U(1)), length) if len(x) >= length else np.zeros(0, np.uint64) for x in segments]
+    counts = np.array([len(r) for r in runs])
+    _, own = np.unique(np.concatenate(runs), return_inverse=True)
+    return own, np.repeat(np.arange(len(runs)), counts), ranges(np.zeros(len(runs), np.int64), counts)
+
+
+def _edges(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.zeros(len(sorted_[0]), bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _marks(anchor, content, doc, word, sizes, texts, length, most):
+    """(document, from, to, first's document, from) for every stretch of runs that aren't the first of their class.
+
+    The arrays describe cuttings: anchor hash, content hash, rank of the document, first word, number of words; texts gives the
+    words of some of them. Cuttings of an anchor that are all the same, each in another document, need no search.
+    """
+    out = []
+    by = np.lexsort((word, doc, anchor))
+    anchor, content, doc, word, sizes, rows = anchor[by], content[by], doc[by], word[by], sizes[by], by
+    head = _edges(anchor)
+    group = np.cumsum(head) - 1
+    first = np.flatnonzero(head)
+    mixed = np.zeros(len(first), bool)
+    mixed[group[content != content[first][group]]] = True
+    mixed[group[~_edges(anchor, doc)]] = True
+    plain = ~mixed[group] & ~head & (sizes >= length)
+    f = first[group[plain]]
+    out.append((doc[plain], word[plain], word[plain] + sizes[plain], doc[f], word[f]))
+    hard = np.flatnonzero(mixed[group])
+    if len(hard):
+        # Equal cuttings of an anchor are searched once and stand for all their places.
+        hard = hard[np.lexsort((content[hard], group[hard]))]
+        lead = _edges(group[hard], content[hard])
+        begin = np.flatnonzero(lead)
+        count = np.diff(np.append(begin, len(hard)))
+        segments = texts(rows[hard[begin]])
+        cls, seg, place = (classes_by_hash if sum(map(len, segments)) > most else classes)(segments, length)
+        place, cls = np.repeat(place, count[seg]), np.repeat(cls, count[seg])
+        at = hard[ranges(begin[seg], count[seg])]
+        d, w = doc[at], word[at] + place
+        by = np.lexsort((w, d, cls))
+        cls, d, w = cls[by], d[by], w[by]
+        head = _edges(cls)
+        f = np.flatnonzero(head)[np.cumsum(head) - 1]
+        later = (d != d[f]) | (w != w[f])
+        d, w, fd, fw = d[later], w[later], d[f][later], w[f][later]
+        if len(d):
+            by = np.lexsort((w, w - fw, fd, d))
+            d, w, fd, fw = d[by], w[by], fd[by], fw[by]
+            start = _edges(d, fd, w - fw)
+            start[1:] |= w[1:] > w[:-1] + 1
+            s = np.flatnonzero(start)
+            e = np.append(s[1:], len(d)) - 1
+            out.append((d[s], w[s], w[e] + length, fd[s], fw[s]))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """doc_id, h, first_word, end_word, from_id, from_h, from_word: stretches of words that an earlier place has too.
 
     A stretch holds the words [first_word, end_word) of the text, of at least ``length`` words, all of whose runs of ``length``
-    words occur before: in a document with a smaller doc_id (a null one is the largest, h decides between equals) or earlier in
+    words occur before (stretches may be listed more than once): in a document with a smaller doc_id (a null one is the largest, h decides between equals) or earlier in
     the same. from_id and from_word are where the first run occurs first. Words are parted by ASCII white space and compared as
     they stand. Stretches of a document may overlap. Null, empty and shorter texts have none, but what other rows repeat of a
     document counts, whatever its other columns hold; rows with equal doc_id and text are one document.
@@ -228,30 +257,38 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 lo = np.maximum(w - reach, 0)
                 hi = np.minimum(w + size + reach, np.diff(words)[doc])
                 flat32 = w32[ranges(words[doc] + lo, hi - lo)]
+                content = span_hash(w32.astype(np.uint64) + U(1), words[doc] + lo, words[doc] + hi)
                 raw_offs = np.concatenate([[0], np.cumsum((hi - lo) * 4)])
                 raw = pa.Array.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(raw_offs.astype(np.int64)), pa.py_buffer(flat32)]).cast(pa.binary())
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([a, part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), raw], ["a", "d", "h", "w", "s"])
+                yield pa.RecordBatch.from_arrays([a, part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), raw, pa.array(content.view(np.int64))], ["a", "d", "h", "w", "s", "c"])
 
-    grouped = cuts.mapInArrow(clip, f"a bigint, d {kind}, h bigint, w int, s binary").repartition("a").sortWithinPartitions("a")
+    grouped = cuts.mapInArrow(clip, f"a bigint, d {kind}, h bigint, w int, s binary, c bigint").repartition("a").sortWithinPartitions("a")
     out = f"doc_id {kind}, h bigint, first_word int, end_word int, from_id {kind}, from_h bigint, from_word int"
 
-    def solve(table: pa.Table, big: bool) -> Iterator[pa.RecordBatch]:
-        segments = [np.frombuffer(x, np.uint32) for x in table.column("s").to_pylist()]
-        if len(segments) < 2:
-            return
-        d, h = table.column("d").to_pylist(), table.column("h").to_pylist()
-        keys = [(x is None, 0 if x is None else x, y) for x, y in zip(d, h)]
-        names = sorted(set(keys))
-        rank = {k: i for i, k in enumerate(names)}
-        got = _marks(segments, np.array([rank[k] for k in keys]), table.column("w").to_numpy().astype(np.int64), length, big)
-        if got is None:
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows < 2:
             return
-        own, first, end, from_, word = got
-        ids = pa.array([None if k[0] else k[1] for k in names], table.schema.field("d").type)
-        hs = pa.array([k[2] for k in names], pa.int64())
+        d, h = table.column("d"), table.column("h").to_numpy()
+        none, ids = d.is_null().to_numpy(), d.fill_null(0).to_numpy()
+        by = np.lexsort((h, ids, none))
+        new = _edges(none[by], ids[by], h[by])
+        doc = np.empty(len(by), np.int64)
+        doc[by] = np.cumsum(new) - 1
+        name = by[new]
+        s = table.column("s").combine_chunks()
+        until = np.frombuffer(s.buffers()[1], np.int32, len(s) + 1, s.offset * 4)
+        data = s.buffers()[2]
+        sizes = np.diff(until) // 4
+
+        def texts(rows: np.ndarray) -> list[np.ndarray]:
+            return [np.frombuffer(data, np.uint32, n, at) for at, n in zip(until[rows].tolist(), sizes[rows].tolist())]
+
+        own, first, end, from_, word = _marks(table.column("a").to_numpy(), table.column("c").to_numpy(), doc, table.column("w").to_numpy().astype(np.int64), sizes, texts, length, GROUP)
+        own, from_ = pa.array(name[own]), pa.array(name[from_])
+        d, h = d.combine_chunks(), table.column("h").combine_chunks()
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(own)), hs.take(pa.array(own)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), ids.take(pa.array(from_)), hs.take(pa.array(from_)), pa.array(word.astype(np.int32))],
+            [d.take(own), h.take(own), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), d.take(from_), h.take(from_), pa.array(word.astype(np.int32))],
             ["doc_id", "h", "first_word", "end_word", "from_id", "from_h", "from_word"],
         )
 
@@ -270,15 +307,15 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 a = table.column("a").to_numpy()
                 last = int(np.searchsorted(a, a[-1])) if a[0] != a[-1] else 0
                 if last:
-                    yield from solve(table.slice(0, last), last * 2 * length > GROUP)
+                    yield from solve(table.slice(0, last))
                     waiting, need = table.slice(last).to_batches(), BATCH
                 else:
                     waiting, need = table.to_batches(), 2 * need
         if waiting:
             table = pa.Table.from_batches(waiting).combine_chunks()
-            yield from solve(table, table.num_rows * 2 * length > GROUP)
+            yield from solve(table)
 
-    return grouped.mapInArrow(search, out).distinct()
+    return grouped.mapInArrow(search, out)
 
 
 def merge_stretches(found: DataFrame) -> DataFrame:
@@ -347,4 +384,4 @@ def delete_words(text: str, spans_: list[tuple[int, int]]) -> str:
     return raw[keep].tobytes().decode()
 
 
-__all__ = ["find_repeats", "repeated_spans", "suffix_dedup", "SPACE"]
+__all__ = ["find_repeats", "repeated_spans", "suffix_dedup"]
