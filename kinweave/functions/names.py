@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HONORIFICS = ["hr", "hr.", "herr", "fru", "fru.", "frøken", "dr", "dr."]
 _CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\x9f]")
@@ -45,7 +46,7 @@ def clean_text(text: str | None) -> str:
     return _BLANKS.sub(" ", _CONTROL.sub("", text)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(texts: pd.Series) -> pd.Series:
     return texts.map(clean_text)
 
@@ -56,13 +57,13 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \x0b\f]+", " "), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(texts: pd.Series) -> pd.Series:
     """Upper case after every character that is no letter."""
     return texts.map(lambda t: None if t is None else t.title())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Composed and case-folded; "" for null."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t or "").casefold())

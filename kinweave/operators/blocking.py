@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.metaphone import codes
 from ..functions.names import phonetic_blocking_form
@@ -46,7 +47,7 @@ def cross_type_names(entities: DataFrame, types: tuple[str, ...] = STRONG_TYPES)
     return named.groupBy("normalized").agg(F.count_distinct("type").alias("n_types")).where("n_types > 1")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def phonetic_codes(names: pd.Series) -> pd.Series:
     return names.map(lambda n: sorted(codes(n or "")))
 

@@ -161,7 +161,9 @@ def cluster_evidence(membership: DataFrame, edges: DataFrame, neutral: float = N
     strength = (0.6 * F.col("min_edge_score") + 0.4 * F.col("avg_edge_score")) * F.col("density")
     rows = rows.withColumn("confidence", F.when(n == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), strength))))
     rows = rows.withColumn("suspicious_merge", (n > 1) & ((F.col("min_edge_score") < neutral) | (F.col("density") < 1)))
-    routed = rows.withColumns({p: route(F.col("confidence"), n, p) for p in PROFILES})
+    # Routed by the value that is stored (six digits, float), so that the stored row agrees with its route.
+    stored = F.round("confidence", 6).cast("float").cast("double")
+    routed = rows.withColumns({p: route(stored, n, p) for p in PROFILES})
     return routed.withColumns({c: F.round(c, 6) for c in ("density", "min_edge_score", "avg_edge_score", "confidence")})
 
 
@@ -240,14 +242,12 @@ def cluster_records(membership: DataFrame, entities: DataFrame, evidence: DataFr
     return evidence.join(canonical_names(membership, entities), "cluster_id").join(cluster_attributes(membership, entities), "cluster_id").join(members, "cluster_id").join(inside, "cluster_id", "left")
 
 
-def resolved_entities(records: DataFrame) -> DataFrame:
-    """One row for each member of each record."""
+def resolved_entities(records: DataFrame, profile: str = "quick_low_hitl") -> DataFrame:
+    """One row for each member of each record, routed by a profile."""
     rows = records.select("*", F.explode("members").alias("m"))
-    return rows.select("cluster_id", F.col("m.entity_id").alias("entity_id"), F.col("m.doc_id").alias("doc_id"), F.col("canonical_type").alias("entity_type"), "canonical_name", "canonical_type", "cluster_size", "confidence", (F.col("quick_low_hitl") != "auto_merge").alias("needs_review"), F.col("quick_low_hitl").alias("route_action"), "doc_ids", "attributes")
+    return rows.select("cluster_id", F.col("m.entity_id").alias("entity_id"), F.col("m.doc_id").alias("doc_id"), F.col("canonical_type").alias("entity_type"), "canonical_name", "canonical_type", "cluster_size", "confidence", (F.col(profile) == "review").alias("needs_review"), F.col(profile).alias("route_action"), "doc_ids", "attributes")
 
 
 def routing_counts(evidence: DataFrame) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.col(p).alias("action")) for p in PROFILES]))
     return evidence.select(pairs.alias("x")).groupBy("x.profile", "x.action").agg(F.count(F.lit(1)).alias("n"))
-
-

@@ -1,19 +1,15 @@
-"""All queries outside the training-data operators, by name."""
+"""All queries outside the training-data operators, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
 
+from . import linkage_queries, text_queries
 
-def size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
+Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP: Query = size_distribution
-QUERIES: dict[str, Query] = {"size_distribution": size_distribution}
-ORACLE: dict[str, str] = {"size_distribution": "SELECT source, count(*) AS n FROM documents GROUP BY source"}
+QUERIES: dict[str, Query] = linkage_queries.QUERIES | text_queries.QUERIES
+ORACLE: dict[str, str] = linkage_queries.ORACLE | text_queries.ORACLE
+FLAGSHIP: Query = linkage_queries.entity_resolution
