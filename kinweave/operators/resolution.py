@@ -34,14 +34,15 @@ def set_hash(members: Column) -> Column:
 def retained_edges(scored: DataFrame, nodes: DataFrame | None = None, keep: float = KEEP) -> DataFrame:
     """Scored pairs (a, b, score) from ``keep`` on. With nodes (entity_id), an end that isn't one raises when the plan runs,
     whatever the pair's score."""
+    strong = F.col("score") >= F.lit(keep).cast(scored.schema["score"].dataType)
     if nodes is not None:
         known = nodes.select(F.col("entity_id"), F.lit(True).alias("known"))
         for s in "ab":
             scored = scored.join(known.toDF(s, f"known_{s}"), s, "left")
         fine = F.col("known_a").isNotNull() & F.col("known_b").isNotNull()
-        scored = scored.where(F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("unknown entity in "), F.col("a"), F.lit(", "), F.col("b"))).cast("boolean")))
-    kind = scored.schema["score"].dataType
-    return scored.where(F.col("score") >= F.lit(keep).cast(kind)).select("a", "b", "score")
+        # One condition, so that no weak pair is dropped before its ends are looked at.
+        strong = F.when(fine, strong).otherwise(F.raise_error(F.concat(F.lit("unknown entity in "), F.col("a"), F.lit(", "), F.col("b"))).cast("boolean"))
+    return scored.where(strong).select("a", "b", "score")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
