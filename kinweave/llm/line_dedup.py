@@ -131,28 +131,33 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     most = F.greatest(F.lit(RARE_LEAST), F.floor(F.lit(RARE_SHARE) * F.lit(lists.count())))
     rare = lines.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("df")).where((F.col("df") <= most) & (F.col("first") < F.col("last"))).select("line", "first")
     held = lines.join(rare, "line").where(F.col("first") < F.col("key")).distinct()
-    own = held.groupBy("key").agg(F.collect_set("line").alias("rare"))
-    partners = held.select("key", "first").distinct().join(lists.dropDuplicates(["key"]).select(F.col("key").alias("first"), F.col("lines").alias("other")), "first")
-    jobs = partners.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "other"))).alias("others")).join(own, "key").join(lists.dropDuplicates(["key"]), "key")
+    held = cut(held)
+    # A document's own row comes before its partners' rows, so that a task holds one document and one partner at a time.
+    texts = lists.dropDuplicates(["key"])
+    none = F.lit(None).cast("array<bigint>")
+    own = held.groupBy("key").agg(F.collect_set("line").alias("rare")).join(texts, "key").select("key", F.col("key").alias("first"), F.lit(False).alias("second"), "lines", "rare")
+    partners = held.select("key", "first").distinct().join(texts.select(F.col("key").alias("first"), "lines"), "first").select("key", "first", F.lit(True).alias("second"), "lines", none.alias("rare"))
+    jobs = own.unionByName(partners).select(F.xxhash64("key").alias("g"), "*").repartition("g").sortWithinPartitions("g", "key", "second", "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.from_numpy_dtype(np.int64)), ("h", pa.int64()), ("lines", pa.list_(pa.int32())), ("from_ids", pa.list_(pa.int64()))])
+        b: list[int] = []
+        rare_: set[int] = set()
         for batch in batches:
-            out = {n: [] for n in schema.names}
-            for row in batch.to_pylist():
-                b, rare_, gone, ids = row["lines"], set(row["rare"]), set(), set()
-                for other in row["others"]:
-                    found = blocks(patience(other["other"], b), b, rare_)
-                    if found:
-                        gone |= found
-                        if other["first"]["id"] is not None:
-                            ids.add(other["first"]["id"])
-                if gone:
-                    for n, v in zip(out, (row["key"]["id"], row["key"]["h"], sorted(gone), sorted(ids))):
-                        out[n].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
-
-    return jobs.select("key", "others", "rare", "lines").mapInArrow(align, "doc_id bigint, h bigint, lines array<int>, from_ids array<bigint>")
+            second, where, out = batch.column(3).to_pylist(), [], []
+            for i in range(batch.num_rows):
+                lines_ = batch.column(4)[i].values.to_pylist()
+                if not second[i]:
+                    b, rare_ = lines_, set(batch.column(5)[i].values.to_pylist())
+                elif found := blocks(patience(lines_, b), b, rare_):
+                    where.append(i)
+                    out.append(sorted(found))
+            take = pa.array(where, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(out, pa.list_(pa.int32()))], ["key", "first", "lines"])
+
+    struct = lists.schema["key"].dataType.simpleString()
+    gone = jobs.mapInArrow(align, f"key {struct}, first {struct}, lines array<int>").groupBy("key")
+    gone = gone.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.array_sort(F.collect_set("first.id")).alias("from_ids"))
+    return gone.select(F.col("key.id").alias("doc_id"), F.col("key.h").alias("h"), "lines", "from_ids")
 
 
 def delete_lines(text: str, gone: list[int]) -> str:
