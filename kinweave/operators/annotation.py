@@ -23,7 +23,8 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 def labelled_spans(tasks: DataFrame) -> DataFrame:
     """One row for each labelled span of the tasks' active annotations, with how many of those the task has (n_active)."""
     active = F.filter("annotations", lambda a: ~F.coalesce(a["was_cancelled"], F.lit(False)))
-    rows = tasks.select("data.*", F.size(active).alias("n_active"), F.explode_outer(F.get(active, 0)["result"]).alias("r")).where("r is null or r.type = 'labels'")
+    flat = tasks.select("data.case_id", "data.doc_id", "data.doc_name", "data.text", F.size(active).alias("n_active"), F.coalesce(F.get(active, 0)["result"], F.array()).alias("results"))
+    rows = flat.select("*", F.explode_outer("results").alias("r")).drop("results").where("r is null or r.type = 'labels'")
     v = F.col("r.value")
     return rows.select("case_id", "doc_id", "doc_name", F.col("text").alias("doc_text"), "n_active", v["start"].alias("char_start"), v["end"].alias("char_end"), v["text"].alias("text"), v["labels"].alias("labels"), F.element_at("r.meta.text", 1).alias("group_id"))
 
@@ -41,10 +42,10 @@ def export_errors(spans: DataFrame) -> DataFrame:
     own = F.substring(F.col("doc_text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     one = (F.size("labels") == 1) & F.get("labels", 0).isin(TYPES)
     lap = F.coalesce(F.lag("char_end").over(order) > F.col("char_start"), F.lit(False))
-    cases = F.size(F.collect_set("case_id").over(Window.partitionBy(F.lit(0)))) > 1
-    rules = {"annotations": F.col("n_active") != 1, "offsets": there & ~F.coalesce(own == F.col("text"), F.lit(False)), "label": there & ~F.coalesce(one, F.lit(False)), "overlap": there & lap, "cases": cases}
+    several = spans.agg((F.count_distinct("case_id") > 1).alias("several"))
+    rules = {"annotations": F.col("n_active") != 1, "offsets": there & ~F.coalesce(own == F.col("text"), F.lit(False)), "label": there & ~F.coalesce(one, F.lit(False)), "overlap": there & lap, "cases": F.col("several")}
     found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
-    return spans.select("doc_id", "char_start", "char_end", F.explode(found).alias("rule")).distinct()
+    return spans.crossJoin(several).select("doc_id", "char_start", "char_end", found.alias("rules")).select("doc_id", "char_start", "char_end", F.explode("rules").alias("rule")).distinct()
 
 
 def gold_mentions(spans: DataFrame) -> DataFrame:
