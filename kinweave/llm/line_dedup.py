@@ -184,5 +184,5 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_ch
     if n_chars in docs.columns:
         changed = changed.withColumn(n_chars, F.length(col(text)).cast(docs.schema[n_chars].dataType))
     out = joined.where(F.col(g).isNull()).drop(g)
-    out = out.unionByName(changed.select(out.columns))
+    out = out.unionByName(changed)
     return out if far is None else far.drop(h).unionByName(out)

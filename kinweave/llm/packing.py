@@ -138,7 +138,10 @@ def best_fit_packing(
     parts = max(1, -(-n // partition_pieces))
     # Full pieces need no packing; they make parts of their own, certified as they stand.
     full = found.where(F.col("size") == capacity).withColumn("part", F.concat(F.lit("f"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)).cast("string")))
-    full = full.select("*", F.xxhash64("doc_id", "h", "piece").alias("bin"), F.lit(1).cast("bigint").alias("bins"), F.lit(1).cast("bigint").alias("bound"), F.lit(0).cast("bigint").alias("room"))
+    # A repeated row's pieces are sequences of their own.
+    again = F.row_number().over(Window.partitionBy("doc_id", "h", "piece").orderBy("size"))
+    own = F.when(F.col("again") == 1, F.xxhash64("doc_id", "h", "piece")).otherwise(F.xxhash64("doc_id", "h", "piece", "again"))
+    full = full.withColumn("again", again).select(*full.columns, own.alias("bin"), F.lit(1).cast("bigint").alias("bins"), F.lit(1).cast("bigint").alias("bound"), F.lit(0).cast("bigint").alias("room"))
     rest = found.where(F.col("size") < capacity).withColumn("part", F.concat(F.lit("p"), F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(parts)).cast("string")))
     now = cut(_pack(rest, capacity))
     done = []

@@ -369,7 +369,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     less = joined.where(F.col(s).isNotNull()).withColumn(text, F.pandas_udf(cut_out, "string")(col(text), F.col(s))).where(F.length(F.trim(col(text))) > 0).drop(s)
     if n_chars in docs.columns:
         less = less.withColumn(n_chars, F.length(col(text)).cast(docs.schema[n_chars].dataType))
-    out = untouched.unionByName(less.select(untouched.columns))
+    out = untouched.unionByName(less)
     return out if far is None else far.drop(h).unionByName(out)
 
 

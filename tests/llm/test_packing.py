@@ -63,7 +63,7 @@ def test_bounds_hold_and_best_fit_is_best_fit():
 def test_packing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "x"], k=rng.randint(1, 400))), "x", 1) for i in range(300)]
-    rows += [(300, None, "x", 1), (301, "", "x", 1), (302, "word " * 5000, "x", 1), (None, "lost one", None, None), rows[0]]
+    rows += [(300, None, "x", 1), (301, "", "x", 1), (302, "word " * 5000, "x", 1), (302, "word " * 5000, "x", 1), (None, "lost one", None, None), rows[0]]
     docs = spark.createDataFrame(rows, SCHEMA)
     packed = P.best_fit_packing(docs, capacity=512, partition_pieces=40)
     got = packed.collect()
