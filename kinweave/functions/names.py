@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 HONORIFICS = ["hr", "hr.", "herr", "fru", "fru.", "frøken", "dr", "dr."]
-_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\x9f]")
+_CONTROL = re.compile(r"[^\n\x20-\x7e\xa0-\U0010ffff]")
 _BLANKS = re.compile(r"[^\S\n]+")
 _BROKEN = re.compile(r"[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 
@@ -53,7 +53,7 @@ def normalize_text(texts: pd.Series) -> pd.Series:
 
 def collapse_blanks(text: Column) -> Column:
     """The part of ``normalize_text`` that needs no Python: tabs, control characters, blanks, ends."""
-    text = F.regexp_replace(F.translate(text, "\t", " "), r"[\x00-\x09\x0b-\x1f\x7f]", "")
+    text = F.regexp_replace(F.translate(text, "\t", " "), r"[^\n\x20-\x7e\x{80}-\x{10ffff}]", "")
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \x0b\f]+", " "), r"^\s+|\s+$", "")
 
 

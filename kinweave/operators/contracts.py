@@ -134,7 +134,7 @@ def check_scored_pairs(df: DataFrame, candidates: DataFrame | None = None) -> Da
 def check_resolved_entities(df: DataFrame, profile: str = "quick_low_hitl") -> DataFrame:
     """Value rules, and those of a cluster: constant columns, size, one type, the route that its confidence asks for."""
     cluster = Window.partitionBy("run_id", "cluster_id")
-    constant = ["cluster_size", "confidence", "needs_review", "route_action", "canonical_name", "canonical_type", "clustering_method", "component_id", "doc_ids", "most_recent_doc_id", "most_recent_doc_date"]
+    constant = "canonical_name canonical_type cluster_size clustering_method component_id confidence doc_ids most_recent_doc_date most_recent_doc_id needs_review route_action".split()
     same = F.size(F.collect_set(F.to_json(F.struct(*constant, F.map_entries("attributes")))).over(cluster)) == 1
     types = F.size(F.collect_set("entity_type").over(cluster)) == 1
     expected = route(F.col("confidence").cast("double"), F.col("cluster_size"), profile)

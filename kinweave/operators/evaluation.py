@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NO_GROUP, MANY_GROUPS = "__fp__:", "__ambiguous__:"
-DRIFT = {"pairwise_f1": 0.03, "pairwise_f0_5": 0.03, "bcubed_f1": 0.03, "bcubed_f0_5": 0.03, "ari": 0.05, "nmi": 0.05}
+DRIFT = dict.fromkeys(("bcubed_f0_5", "bcubed_f1", "pairwise_f0_5", "pairwise_f1"), 0.03) | dict.fromkeys(("nmi", "ari"), 0.05)
+SPAN = "doc_id entity_type char_start char_end".split()
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -116,7 +117,7 @@ def threshold_metrics(scored: DataFrame, threshold: float = 0.5, beta: float = 0
 
 def missing_and_spurious(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Mentions by type that only one side has: entity_type, kind, n. Keys: doc_id, entity_type, char_start, char_end."""
-    keys = ["doc_id", "entity_type", "char_start", "char_end"]
+    keys = SPAN
     only = lambda x, y, kind: x.select(keys).distinct().join(y.select(keys).distinct(), keys, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")).select("entity_type", F.lit(kind).alias("kind"), "n")
     return only(gold, predicted, "missing").unionByName(only(predicted, gold, "spurious"))
 
@@ -138,7 +139,7 @@ def two_phase_match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     First by exact span where one predicted row has it; what is left is paired in order within (document, type, text).
     """
-    span = ["doc_id", "entity_type", "char_start", "char_end"]
+    span = SPAN
     single = predicted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*span))).where("n = 1").select(*span, "pred_id", "entity_id")
     exact = gold.join(single, span).select("mention_id", "entity_id", "pred_id", F.lit("span").alias("phase"))
     order = Window.partitionBy("doc_id", "entity_type", "text").orderBy("char_start", "char_end", "id")

@@ -18,36 +18,41 @@ from ..functions.names import context_window, hash_id, normalize_name
 Span = tuple[int, int, str]
 Tagger = Callable[[str], list[Span]]
 
-STREETS = "gate gata gaten vei veien allé alléen plass plassen torg torget stien sti bakken løkka svingen tunet kroken".split()
-PLACES = "bakken berget enga fjellet gården haugen heim holtet huset hytta kroken lia løkka moen neset odden plassen setra stua svingen sætra toppen tunet vika viken vollen åsen".split()
-BODIES = "constabulary police department agency authority kommissariat politidistrikt tingrett lagmannsrett".split()
-_STREET = "|".join(STREETS)
-_NUMBER, _POST = r"(?:\s\d{1,4}[A-Za-z]?)?", r"(?:,\s\d{4}\s[A-ZÆØÅ][A-Za-zÆØÅæøå]+)?"
-
-#: Patterns by entity type, in the order in which they win ties.
-FAMILIES: list[tuple[str, re.Pattern[str]]] = [
-    (kind, re.compile(p))
-    for kind, p in [
-        ("COMM", r"\b\d{3}\s\d{2}\s\d{3}\b"),
-        ("COMM", r"\b\d{8}\b"),
-        ("COMM", r"(?<!\d)\+\d{7,15}\b"),
-        ("COMM", r"(?<!\d)\+\d{1,3}(?:[\s-]\d{2,5}){2,5}\b"),
-        ("COMM", r"\b[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-        ("COMM", r"\b(?=[0-9_]*[A-Za-z])(?=[A-Za-z0-9]*_)[A-Za-z0-9_]{3,}\b"),
-        ("PER", r"\b\d{6}[-\s]?\d{5}\b"),
-        ("VEH", r"\b[A-Z]{2}\s?\d{4,5}\b"),
-        ("FIN", r"\b\d{4}\.\d{2}\.\d{4,5}\b"),
-        ("FIN", r"\bNO\d{2}(?:\s?\d{4}){2}\s?\d{3}\b"),
-        ("LOC", rf"\b[A-ZÆØÅ][A-Za-zÆØÅæøå]*(?:{_STREET}){_NUMBER}{_POST}\b"),
-        ("LOC", rf"\b[A-ZÆØÅ][a-zæøå]+(?:\s[A-ZÆØÅ][a-zæøå]+)*\s(?:{_STREET}){_NUMBER}{_POST}\b"),
-    ]
+STREETS = "alléen allé bakken gaten gate gata kroken løkka plassen plass stien sti svingen torget torg tunet veien vei".split()
+PLACES = "åsen vollen viken vika tunet toppen svingen stua sætra setra plassen odden neset moen løkka lia kroken hytta huset holtet heim haugen gården fjellet enga berget bakken".split()
+BODIES = "agency authority constabulary department kommissariat lagmannsrett police politidistrikt tingrett".split()
+_STREET, _UP, _LOW = "|".join(STREETS), "[A-ZÆØÅ]", "[a-zæøå]"
+_ANY = "[a-zæøåA-ZÆØÅ]"
+_TAIL = f"(?:~#{{1,4}}[a-zA-Z]?)?(?:,~####~{_UP}{_ANY}+)?"
+
+#: Patterns by entity type, in the order in which they win ties. # is a digit, ~ a white space, < and > bound words.
+_WRITTEN = [
+    ("COMM", "<###~##~###>"),
+    ("COMM", "<#{8}>"),
+    ("COMM", "(?<!#)[+]#{7,15}>"),
+    ("COMM", "(?<!#)[+]#{1,3}(?:[~-]#{2,5}){2,5}>"),
+    ("COMM", r"<(?a:[\w.%+-]+@(?:[^\W_]|[.-])+[.][^\W\d_]{2,})>"),
+    ("COMM", r"<(?a:(?=[\d_]*[^\W\d_])(?=[^\W_]*_)\w{3,})>"),
+    ("PER", "<#{6}[~-]?#{5}>"),
+    ("VEH", "<[A-Z][A-Z]~?#{4,5}>"),
+    ("FIN", "<####[.]##[.]#{4,5}>"),
+    ("FIN", "<NO##(?:~?####){2}~?###>"),
+    ("LOC", f"<{_UP}{_ANY}*(?:{_STREET}){_TAIL}>"),
+    ("LOC", f"<{_UP}{_LOW}+(?:~{_UP}{_LOW}+)*~(?:{_STREET}){_TAIL}>"),
 ]
-EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
+
+
+def _expanded(pattern: str) -> re.Pattern[str]:
+    bounds = re.sub(r"(?<![?(])<(?!!)|>$", r"\\b", pattern)
+    return re.compile(bounds.replace("#", r"\d").replace("~", r"\s"))
+
+
+FAMILIES: list[tuple[str, re.Pattern[str]]] = [(kind, _expanded(p)) for kind, p in _WRITTEN]
 _BODY = re.compile(rf"\b(?:{'|'.join(BODIES)})\s*$", re.I)
-_STREET_END = re.compile(rf"(?:{_STREET}|street|road|avenue|square|lane|drive)\s*\d*\s*$", re.I)
-_HEAD = re.compile(rf"(?:(?:{'|'.join(PLACES)})|(?:{_STREET})(?:\s+\d+[A-Za-z]?)?)\s*$", re.I)
-_LOCALITY = re.compile(r"(?:[A-ZÆØÅ][a-zæøå]+|[A-ZÆØÅ]{2,})(?:-[A-ZÆØÅ][A-Za-zÆØÅæøå]+)?\s*", re.I)
-LABELS = {"PER": "PER", "ORG": "ORG", "GPE_ORG": "ORG", "LOC": "LOC", "GPE_LOC": "LOC"}
+_STREET_END = re.compile(rf"(?:{_STREET}|avenue|drive|lane|road|square|street)\s*\d*\s*$", re.I)
+_HEAD = re.compile(rf"(?:(?:{'|'.join(PLACES)})|(?:{_STREET})(?:\s+\d+{'[A-Z]'}?)?)\s*$", re.I)
+_LOCALITY = re.compile(rf"(?:{_UP}{_LOW}+|{_UP}{{2,}})(?:-{_UP}{_ANY}+)?\s*", re.I)
+LABELS = {label: label[-3:] for label in ("GPE_LOC", "GPE_ORG", "LOC", "ORG", "PER")}
 
 
 def without_overlaps(spans: list[Span]) -> list[Span]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .resolution import LEAST_GAP
 
-METRICS = ["pairwise_precision", "pairwise_recall", "pairwise_f1", "pairwise_f0_5", "ari", "nmi", "bcubed_precision", "bcubed_recall", "bcubed_f1", "bcubed_f0_5"]
+METRICS = ["ari", "nmi", *(f"{kind}_{m}" for kind in ("bcubed", "pairwise") for m in ("precision", "recall", "f1", "f0_5"))]
 RECALL_LEAST, FAILED = 0.70, -1.0
 KEYS = ["run_id", "entity_id_a", "entity_id_b"]
 

@@ -8,12 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.names import hash_id, normalize_text
 
 CHUNK, OVERLAP, SHORT_TEXT = 512, 50, 20
-SEPARATORS = ("\n\n", "\n", ". ", " ")
-KINDS = {".pdf": ("application/pdf", "pdf_page"), ".docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "docx_paragraph")}
+SEPARATORS = ("\n" * 2, "\n", ". ", " ")
+_MIME = {"docx_paragraph": "vnd.openxmlformats-officedocument.wordprocessingml.document", "pdf_page": "pdf"}
+KINDS = {f".{kind.split('_')[0]}": (f"application/{mime}", kind) for kind, mime in _MIME.items()}
 Unit = tuple[int, str]
 
 
@@ -108,15 +110,17 @@ def chunk_documents(units: DataFrame, size: int = CHUNK, overlap: int = OVERLAP)
     """run_id, chunk_id, doc_id, chunk_index, text, source_unit_kind, page_num, global_start from units (run_id, doc_id,
     source_unit_kind, page_num, text). Texts are normalised first; one group of rows for each document."""
 
+    made = StructType.fromDDL("run_id string, doc_id string, chunk_index int, text string, source_unit_kind string, page_num int, global_start int")
+
     def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("page_num", kind="stable")
         kind = rows.source_unit_kind.iloc[0]
         found = chunk_units(list(zip(rows.page_num.tolist(), rows.text.tolist())), size, overlap)
-        return pd.DataFrame([(key[0], key[1], i, t, kind, p, s) for i, t, p, s in found], columns=["run_id", "doc_id", "chunk_index", "text", "source_unit_kind", "page_num", "global_start"])
+        return pd.DataFrame([(key[0], key[1], i, t, kind, p, s) for i, t, p, s in found], columns=made.names)
 
     clean = units.withColumn("text", normalize_text(F.coalesce("text", F.lit(""))))
-    got = clean.groupBy("run_id", "doc_id").applyInPandas(chunk, "run_id string, doc_id string, chunk_index int, text string, source_unit_kind string, page_num int, global_start int")
-    return got.select("run_id", hash_id("doc_id", F.col("chunk_index").cast("string"), sep=":").alias("chunk_id"), "doc_id", "chunk_index", "text", "source_unit_kind", "page_num", "global_start")
+    got = clean.groupBy("run_id", "doc_id").applyInPandas(chunk, made)
+    return got.select("run_id", hash_id("doc_id", F.col("chunk_index").cast("string"), sep=":").alias("chunk_id"), *made.names[1:])
 
 
 def page_counts(docs: DataFrame, units: DataFrame) -> DataFrame:

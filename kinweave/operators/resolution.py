@@ -16,7 +16,7 @@ KEEP, NEUTRAL, LEAST_GAP, SNAP = 0.60, 0.80, 0.10, 1e-6
 RUNS, PATIENCE, GAIN = 40, 5, 1e-6
 GIANT_SIZE, GIANT_SHARE = 25, 0.15
 AUTO_MERGE, REVIEW = 0.85, 0.50
-PROFILES = {"balanced_hitl": "review", "quick_low_hitl": "defer"}
+PROFILES = dict(balanced_hitl="review", quick_low_hitl="defer")
 
 
 def check_thresholds(keep: float, neutral: float) -> None:
@@ -124,7 +124,7 @@ def pivot_clusters(comps: DataFrame, edges: DataFrame, neutral: float = NEUTRAL,
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(rows.a[rows.b.isna()])
         own = rows[rows.b.notna()]
-        weights = {(min(a, b), max(a, b)): w for a, b, w in zip(own.a, own.b, own.w)}
+        weights = {(a, b) if a < b else (b, a): w for a, b, w in zip(own.a, own.b, own.w)}
         found, _, _ = pivot(ids, dict(sorted(weights.items())), key[0], base_seed=base_seed)
         return pd.DataFrame([(x, key[0], _key(c), "pivot_correlation") for c in found for x in c], columns=["entity_id", "component_id", "cluster_key", "clustering_method"])
 

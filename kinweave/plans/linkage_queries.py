@@ -132,7 +132,7 @@ def _features(spark, d) -> DataFrame:
     return features.add_features(blocking.with_entities(_candidates(spark, d), p, {"normalized": "name", "kind": "entity_type", "p_type": "doc_id", "context": "context"}))
 
 
-_ROUNDED = ["jaro_winkler_similarity", "levenshtein_ratio_similarity", "token_jaccard_similarity", "token_containment_ratio", "char_trigram_jaccard_similarity"]
+_ROUNDED = features.FEATURES[:5]
 
 
 @query(f"WITH {FEATURES} SELECT entity_id_a, entity_id_b, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)}, exact_canonical_name_match, shared_doc_count, blocking_method_count FROM feats")

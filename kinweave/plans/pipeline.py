@@ -156,7 +156,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--case-root", required=True)
     p.add_argument("--data-dir", required=True)
     p.add_argument("--run-id", default=None)
-    p.add_argument("--enable-shap", action="store_true")
+    p.add_argument("--enable-shap", default=False, action=argparse.BooleanOptionalAction)
     p.add_argument("--model", help="a saved model; rules score the pairs without one")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("kinweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -167,4 +167,6 @@ def main(args: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    import sys
+
+    sys.exit(main())

@@ -93,7 +93,7 @@ def unit_of_position(spark, d):
     return ingestion.unit_of_position(units, c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 100).alias("pos")).distinct())
 
 
-_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+_EMAIL = r"[\w.%+-]+@[A-Za-z\d.-]+[.][A-Za-z]{2,}"
 _MAILS = f"mails AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS text FROM documents)"
 
 

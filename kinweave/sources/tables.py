@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 GOLD = "case_id string, doc_id string, doc_name string, mention_id string, char_start int, char_end int, text string, entity_type string, group_id string, canonical_text string, notes string"
-GOLD_REQUIRED = ("doc_id", "mention_id", "char_start", "char_end", "text", "entity_type", "group_id")
+GOLD_REQUIRED = "mention_id group_id doc_id entity_type char_start char_end text".split()
 CLUSTERS = "run_id string, cluster_count int, clusters array<struct<cluster_id:string,cluster_size:int,confidence:double,min_edge_score:double,density:double,canonical_name:string,canonical_type:string,suspicious_merge:boolean,routing_actions_by_profile:struct<balanced_hitl:string,quick_low_hitl:string>>>"
 CLUSTER_ROW = "cluster_id string, cluster_size int, confidence double, min_edge_score double, density double, canonical_name string, canonical_type string, suspicious_merge boolean, balanced_hitl string, quick_low_hitl string"
 

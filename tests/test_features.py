@@ -39,7 +39,7 @@ def test_jaro_winkler():
 
 
 def test_cosine(spark):
-    rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), (None, [1.0, 0.0])], "u array<float>, v array<float>")
+    rows = spark.createDataFrame([(x, y) for x in ([1.0, 0.0],) for y in (x, [0.0, 1.0], [-1.0, 0.0])] + [(None, [1.0, 0.0])], "u array<float>, v array<float>")
     assert [r[0] for r in rows.select(pairs.cosine(F.col("u"), F.col("v"))).collect()] == [1.0, 0.0, -1.0, None]
 
 

@@ -151,7 +151,7 @@ def test_synthetic(spark):
 
 
 def task(doc, spans, text="Per Hansen met Kari", cancelled=False):
-    value = lambda s: {"type": "labels", "value": {"start": s[0], "end": s[1], "text": text[s[0] : s[1]], "labels": s[2]}}
+    value = lambda s: dict(type="labels", value=dict(zip(("start", "end", "labels", "text"), (*s, text[s[0] : s[1]]))))
     return {"id": 1, "data": {"case_id": "c", "doc_id": doc, "doc_name": doc, "text": text}, "annotations": [{"was_cancelled": True, "result": []}, {"was_cancelled": cancelled, "result": [value(s) for s in spans]}]}
 
 
@@ -169,7 +169,7 @@ def test_annotation(spark, tmp_path):
     assert annotation.read_brief("title: 'A b' # c\nnames: [x, 'y, z']\nmore:\n  - one\n  - two\n") == {"title": "A b", "names": ["x", "y, z"], "more": ["one", "two"]}
 
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+W = f'xmlns:w="{files._W[1:-1]}"'
 
 
 def docx(paragraphs, cells=()):
@@ -203,7 +203,7 @@ def test_tables(spark, tmp_path):
     assert (tmp_path / "o.csv").read_text().split() == ["x,y", "1,a|b"]
     assert "| 0.5000 |" in tables.markdown_table(spark.createDataFrame([(0.5,)], "x double"), "T")
     run = tmp_path / tables.run_folder("r1")
-    cluster = {"cluster_id": "x", "cluster_size": 2, "confidence": 0.9, "routing_actions_by_profile": {"balanced_hitl": "auto_merge", "quick_low_hitl": "auto_merge"}}
+    cluster = {"cluster_id": "x", "cluster_size": 2, "confidence": 0.9, "routing_actions_by_profile": dict.fromkeys(("quick_low_hitl", "balanced_hitl"), "auto_merge")}
     tables.write_json({"run_id": "r1", "cluster_count": 1, "clusters": [cluster]}, str(run / "clusters.json"))
     assert tables.discover_runs(str(tmp_path)) == ["r1"] and tables.read_clusters(spark, str(run / "clusters.json")).first().quick_low_hitl == "auto_merge"
     empty, why = tables.read_clusters_or_empty(spark, str(tmp_path / "none.json"))
@@ -220,7 +220,7 @@ def test_pipeline_of_files(spark, tmp_path):
     (root / "note.txt").write_text("x")
     run = pipeline.Run(spark, str(tmp_path / "out"), "r1", str(tmp_path / "case"), neighbours=5)
     summary = pipeline.run_pipeline(run)
-    assert summary["status"] == "succeeded" and [s["status"] for s in summary["stages"]] == ["succeeded"] * 6
+    assert summary["status"] == "succeeded" and {s["status"] for s in summary["stages"]} == {"succeeded"} and len(summary["stages"]) == 6
     assert summary["stages"][0]["counts"]["docs"] == 3
     got = {}
     for r in run.read("resolved_entities").collect():
@@ -232,7 +232,7 @@ def test_pipeline_of_files(spark, tmp_path):
 def test_pipeline_ends_early(spark, tmp_path):
     empty = pipeline.Run(spark, str(tmp_path / "o"), "r", units=spark.createDataFrame([("d", "docx_paragraph", 0, "nothing here")], "doc_id string, source_unit_kind string, page_num int, text string"))
     summary = pipeline.run_pipeline(empty)
-    assert summary["status"] == "succeeded_no_results" and [s["status"] for s in summary["stages"]] == ["succeeded", "no_results"] + ["skipped"] * 4
+    assert summary["status"] == "succeeded_no_results" and "/".join(s["status"] for s in summary["stages"]) == "succeeded/no_results" + "/skipped" * 4
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
         pipeline.run_pipeline(pipeline.Run(spark, str(tmp_path / "o2"), "r", str(tmp_path / "none")))
