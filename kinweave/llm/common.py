@@ -6,6 +6,7 @@ same document; rows that share only the ``doc_id`` are different documents, orde
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,8 +22,24 @@ from pyspark.sql.functions import pandas_udf
 FILTER_LIMIT = 64 << 20
 #: Bits of a filter for each key, and probes.
 FILTER_BITS, PROBES = 12, 4
-#: Bytes of text that the kernels work on at a time.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that the kernels work on at a time, and that a worker is sent at a time.
+CHUNK_BYTES, BATCH_BYTES = 512 << 10, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send at most ``BATCH_BYTES`` to a worker at a time, unless the session says otherwise: a batch of 10,000 long texts is held
+    by the executor and by its worker, several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back to the system at a task's end; the worker waits for other tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only where the C library has it
+        trim(0)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -89,6 +106,7 @@ class KeyFilter:
 
     def __init__(self, keys: DataFrame, repeated: bool = False, limit: int = FILTER_LIMIT, count: int | None = None):
         spark = keys.sparkSession
+        small_batches(spark)
         name = keys.columns[0]
         n = keys.count() if count is None else count
         self.usable = n * FILTER_BITS // 8 <= limit

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, cut, pieces, text_hash
+from .common import bytes_of, col, cut, pieces, small_batches, text_hash
 from .kernels import BYTE_HASH, U, mix, span_hash
 
 LEAST, NORMAL, MOST = 64, 256, 1024
@@ -98,6 +98,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     ["doc_id", "h", "digests", "sizes", "n_bytes"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, h bigint, digests array<bigint>, sizes array<int>, n_bytes bigint")
 
 

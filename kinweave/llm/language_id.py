@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, small_batches
 
 PROFILE = 300
 ORDERS = (1, 2, 3)
@@ -139,15 +139,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
                 ["doc_id", "lang", "predicted", "distance", "margin", "rejected"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(col(doc_id), col(lang), col(text)).mapInArrow(run, f"doc_id {kind}, lang string, predicted string, distance double, margin double, rejected boolean")
 
 
 def accept(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
     """The rows that aren't rejected, with their columns."""
-    from pyspark.sql.functions import pandas_udf
+    small_batches(docs.sparkSession)
 
-    @pandas_udf("boolean")
+    @F.pandas_udf("boolean")
     def keeps(texts: pd.Series) -> pd.Series:
         return pd.Series([not model.classify(t, reject)[3] for t in texts], dtype=bool)
 

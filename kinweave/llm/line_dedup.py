@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, cut, fresh, join_keys, pieces, split, text_hash
+from .common import bytes_of, col, cut, fresh, join_keys, pieces, small_batches, split, text_hash
 from .kernels import BYTE_HASH, SPACE, span_hash
 
 #: A line is rare in at most this share of the documents, or this many if that is more.
@@ -114,6 +114,7 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     largest, the hash h of the text decides between equals); rows with equal doc_id and text are one document. Lines are
     compared without white space at their ends; blank lines align but aren't rare. Null and empty texts have no lines.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _WIDE_SPACE, PATTERN
-from .common import bytes_of, col, pieces
+from .common import bytes_of, col, pieces, small_batches
 from .kernels import BYTE_HASH, SPACE, ranges, span_hash
 
 DEFAULT_MERGES = "/opt/tokenizers/byte_bpe_50k.json"
@@ -233,6 +233,7 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     corpus = Corpus(merges(vocabulary))
         yield from emit(corpus)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(col(doc_id).alias("d"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, exact boolean")
 

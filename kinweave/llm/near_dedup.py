@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import bytes_of, col, cut, fresh, join_keys, pieces, split, text_hash, without
+from .common import bytes_of, col, cut, fresh, join_keys, pieces, release, small_batches, split, text_hash, without
 from .kernels import PUNCT, U, mix, spans, word_hashes
 
 #: Words of a shingle, and the weighted Jaccard similarity from which two documents are near copies.
@@ -168,6 +168,7 @@ def signatures(docs: DataFrame, idf, text: str, doc_id: str) -> DataFrame:
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64()))
                 total = np.add.reduceat(w, until[:-1][on])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array(total), lists], ["doc_id", "h", "weight", "bands"])
+        release()
 
     return docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, h bigint, weight double, bands array<bigint>")
 
@@ -227,6 +228,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshol
     empty table there are no groups.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     df, n = document_frequencies(docs, text)
     idf = spark.sparkContext.broadcast(np.log1p(max(n, 1) / np.maximum(df, 1)))
     signed = signatures(docs, idf, text, doc_id)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .common import bytes_of, col, cut, pieces, text_hash
+from .common import bytes_of, col, cut, pieces, release, small_batches, text_hash
 
 #: Tokens of a sequence, pieces of a partition about, and exchange rounds at most.
 CAPACITY, PARTITION_PIECES, ROUNDS = 2048, 200_000, 3
@@ -94,6 +94,7 @@ def token_pieces(docs: DataFrame, text: str, doc_id: str, capacity: int, vocabul
                     [part.column(0).take(take), part.column(1).take(take), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(np.minimum(n[row] - piece * capacity, capacity).astype(np.int32))],
                     ["doc_id", "h", "piece", "start", "size"],
                 )
+        release()
 
     return docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, h bigint, piece int, start bigint, size int")
 
@@ -133,6 +134,7 @@ def best_fit_packing(
     texts have no tokens and no piece. Repeated rows and null doc_ids are packed like others. Ties go by size, doc_id, hash of
     the text and piece, so the result doesn't depend on the order of the rows.
     """
+    small_batches(docs.sparkSession)
     found = cut(token_pieces(docs, text, doc_id, capacity, vocabulary))
     n = found.where(F.col("size") < capacity).count()
     parts = max(1, -(-n // partition_pieces))

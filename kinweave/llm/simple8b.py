@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .common import bytes_of, col, pieces
+from .common import bytes_of, col, pieces, small_batches
 from .kernels import ranges, sliding
 
 BLOCK = 240
@@ -171,6 +171,7 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 n = pa.array(np.diff(id_offs), pa.int64(), mask=gone)
                 yield pa.RecordBatch.from_arrays([part.column(0), n, raw.cast(pa.binary()), lists], ["doc_id", "n_tokens", "words", "block_offsets"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(col(doc_id).alias("d"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, words binary, block_offsets array<int>")
 

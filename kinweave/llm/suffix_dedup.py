@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, cut, fresh, join_keys, pieces, split, text_hash
+from .common import bytes_of, col, cut, fresh, join_keys, pieces, release, small_batches, split, text_hash
 from .kernels import U, mix, powers, ranges, sliding, span_hash, spans, word_hashes
 
 #: Words of a repeated passage at least, and of an anchor.
 LENGTH, ANCHOR = 50, 20
 #: Symbols over which one transform is built, and of a group that is searched by hashes instead.
-BATCH, GROUP = 600_000, 3_000_000
+BATCH, GROUP = 250_000, 3_000_000
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -198,6 +198,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     they stand. Stretches of a document may overlap. Null, empty and shorter texts have none, but what other rows repeat of a
     document counts, whatever its other columns hold; rows with equal doc_id and text are one document.
     """
+    small_batches(docs.sparkSession)
     size = min(ANCHOR, length)
     reach = length - size
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -212,6 +213,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 doc = np.searchsorted(words, where, "right") - 1
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array((where - words[doc]).astype(np.int32))], ["a", "d", "h", "w"])
+        release()
 
     found = rows.mapInArrow(find, f"a bigint, d {kind}, h bigint, w int")
     by_anchor = found.repartition("a").sortWithinPartitions("a")
@@ -262,6 +264,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 raw = pa.Array.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(raw_offs.astype(np.int64)), pa.py_buffer(flat32)]).cast(pa.binary())
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([a, part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), raw, pa.array(content.view(np.int64))], ["a", "d", "h", "w", "s", "c"])
+        release()
 
     grouped = cuts.mapInArrow(clip, f"a bigint, d {kind}, h bigint, w int, s binary, c bigint").repartition("a").sortWithinPartitions("a")
     out = f"doc_id {kind}, h bigint, first_word int, end_word int, from_id {kind}, from_h bigint, from_word int"
@@ -314,6 +317,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         if waiting:
             table = pa.Table.from_batches(waiting).combine_chunks()
             yield from solve(table)
+        release()
 
     return grouped.mapInArrow(search, out)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .common import bytes_of, col, pieces
+from .common import bytes_of, col, pieces, small_batches
 
 RULES = ("majority", "start", "end")
 
@@ -91,6 +91,7 @@ def section_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"],
                 )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(col(doc_id).alias("d"), col(text).alias("t")).mapInArrow(
         run, f"doc_id {kind}, section int, char_start bigint, char_end bigint, n_tokens bigint, n_crossing bigint"
