@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, small_batches
+from .common import col, cut, fresh, small_batches
 
 PROFILE = 300
 ORDERS = (1, 2, 3)
 #: Labelled texts of each language that the profiles are made from: those with the smallest hash of doc_id and text.
 SAMPLE = 400
+#: The sample is looked for among this many times as many rows.
+SPARE = 4
 #: A text is rejected beyond this distance from every profile. Own-language prose stays under 0.65, of any length.
 REJECT = 0.8
 #: Letters below which a text is too short to be rejected for its distance.
@@ -110,7 +112,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     """
     h, rank = fresh(labelled, "h", "rank")
     rows = labelled.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(lang).alias("lang"), col(text).alias("text"), F.xxhash64(col(doc_id), col(text)).alias(h))
-    chosen = rows.withColumn(rank, F.row_number().over(Window.partitionBy("lang").orderBy(h, "text"))).where(F.col(rank) <= sample).select("lang", "text")
+    first = lambda of: of.withColumn(rank, F.row_number().over(Window.partitionBy("lang").orderBy(h, "text"))).where(F.col(rank) <= sample).select("lang", "text")
+    # Of n rows the smallest hashes lie in the first part of the range, so that few rows go to a language's task, whatever n is.
+    totals = {r[0]: r[1] for r in labelled.where(col(lang).isNotNull()).groupBy(col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return Model([], [])
+    ends = {k: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * SPARE * sample // n) for k, n in totals.items()}
+    end = F.create_map(*[F.lit(x) for k, e in ends.items() for x in (k, e)])[F.col("lang")]
+    chosen = cut(first(rows.where(F.col(h) <= end)))
+    found = {r[0]: r[1] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if any(found.get(k, 0) < min(sample, n) for k, n in totals.items()):  # many null texts or repeated rows: look at all
+        chosen = first(rows)
 
     def count(key, table):
         found = [grams(t) for t in table.column("text").to_pylist()]

@@ -55,3 +55,15 @@ def test_profiles_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(DOCS)
     a, b = L.fit(docs.repartition(7), sample=5), L.fit(docs.repartition(2), sample=5)
     assert a.languages == b.languages and all((x == y).all() for x, y in zip(a.profiles, b.profiles))
+
+
+def test_the_sample_is_that_of_all_rows(spark):
+    """The rows with the smallest hashes, found in a part of the range or, where that has too few, among all."""
+    docs = spark.read.parquet(DOCS)
+    for rows in (docs, docs.withColumn("text", F.when(F.col("doc_id") % 40 == 0, F.col("text")))):
+        by = {}
+        for r in rows.where("text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect():
+            by.setdefault(r.lang, []).append((r.h, r.text))
+        model = L.fit(rows, sample=3)
+        want = {k: L.fit(spark.createDataFrame([(i, t, k) for i, (_, t) in enumerate(sorted(v)[:3])], "doc_id bigint, text string, lang string")).profiles[0] for k, v in by.items()}
+        assert model.languages == sorted(want) and all((p == want[k]).all() for k, p in zip(model.languages, model.profiles))
