@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from .kernels import BYTE_HASH, SPACE, ranges, span_hash
+from .kernels import BYTE_HASH, SPACE, Two, ranges, span_hash
 
 #: The vocabulary file; any .tiktoken file of byte-level ranks will do.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -52,7 +52,7 @@ class Encoder:
         self.pool[self.filled : self.filled + len(ids)] = ids
         self.filled += len(ids)
 
-    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> Two:
         """The ids of all texts in one array, and the n + 1 offsets of the texts in it."""
         n = len(buf)
         if not n:

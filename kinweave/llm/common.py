@@ -116,7 +116,7 @@ class KeyFilter:
         bits = max(1024, -(-n * FILTER_BITS // shards) // 64 * 64 + 64)
 
         def build(batches):
-            seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            seen: dict[int, Two] = {}
             for batch in batches:
                 shard = batch.column(1).to_numpy(zero_copy_only=False)
                 h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -174,7 +174,7 @@ def large(array: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     return array.cast(pa.large_string())
 
 
-def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(array: pa.Array) -> Two:
     """The UTF-8 bytes of a string array and the n + 1 offsets of its texts; a null is an empty text."""
     array = large(array)
     if array.null_count:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, col, cut, pieces, small_batches, text_hash
-from .kernels import BYTE_HASH, U, mix, span_hash
+from .kernels import BYTE_HASH, U, Two, mix, span_hash
 
 LEAST, NORMAL, MOST = 64, 256, 1024
 GEAR = mix(np.arange(1, 257, dtype=np.uint64))
@@ -40,7 +40,7 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chunk_ends(buf: np.ndarray, offs: np.ndarray) -> Two:
     """Ends of the chunks of all texts, and the n + 1 offsets of the texts in them."""
     h = gear(buf)
     loose = np.flatnonzero((h & LOOSE) == 0)

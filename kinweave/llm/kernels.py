@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+Two = tuple[np.ndarray, np.ndarray]
+Three = tuple[np.ndarray, np.ndarray, np.ndarray]
+Four = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _random = np.random.default_rng(20240229)
@@ -22,7 +25,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
 _powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> Two:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if "b" not in _powers or len(_powers["b"]) < n:
         m = max(n, 1 << 12)
@@ -50,7 +53,7 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def spans(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> Three:
     """Starts and ends of the words of all texts (runs of bytes outside gap), and the n + 1 word offsets of the texts."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, cut, fresh, small_batches
+from .kernels import Two
 
 PROFILE = 300
 ORDERS = (1, 2, 3)
@@ -35,12 +36,12 @@ _GAP = re.compile(r"[\W\d_]+")
 _STEP = 1 << 20
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+def grams(text: str) -> Two:
     """The distinct n-grams of a text (code points packed in 21 bits each) and their counts.
 
     Letters are lower-cased and all else becomes single spaces, one on either side of the text; a lone space is no n-gram.
     """
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[Two] = []
     plain = " " + _GAP.sub(" ", text.lower()).strip() + " "
     if len(plain) <= 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

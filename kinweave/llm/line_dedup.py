@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, col, cut, fresh, join_keys, pieces, small_batches, split, text_hash
-from .kernels import BYTE_HASH, SPACE, span_hash
+from .kernels import BYTE_HASH, SPACE, Two, span_hash
 
 #: A line is rare in at most this share of the documents, or this many if that is more.
 RARE_SHARE, RARE_LEAST = 0.01, 20
 
 
-def line_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_hashes(buf: np.ndarray, offs: np.ndarray) -> Two:
     """Hashes of the lines of all texts without white space at their ends (a blank line has 0), and the texts' offsets in them."""
     starts_at = np.zeros(len(buf) + 1, bool)
     starts_at[1:] = buf == 10

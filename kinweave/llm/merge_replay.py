@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _WIDE_SPACE, PATTERN
 from .common import bytes_of, col, pieces, small_batches
-from .kernels import BYTE_HASH, SPACE, ranges, span_hash
+from .kernels import BYTE_HASH, SPACE, Two, ranges, span_hash
 
 DEFAULT_MERGES = "/opt/tokenizers/byte_bpe_50k.json"
 CORPUS_BYTES = 32 << 20
@@ -79,7 +79,7 @@ def merges(path: str = DEFAULT_MERGES) -> Merges:
     return _loaded[path]
 
 
-def replay(table: Merges, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def replay(table: Merges, words: list[bytes]) -> Two:
     """The ids of all words in one array, and the words' n + 1 offsets in it."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     symbol = table.of_byte[np.frombuffer(b"".join(words), np.uint8)]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import bytes_of, col, cut, fresh, join_keys, pieces, release, small_batches, split, text_hash, without
-from .kernels import PUNCT, U, mix, spans, word_hashes
+from .kernels import PUNCT, U, Three, Two, mix, spans, word_hashes
 
 #: Words of a shingle, and the weighted Jaccard similarity from which two documents are near copies.
 SHINGLE, THRESHOLD = 2, 0.55
@@ -44,7 +44,7 @@ _B = _rng.random((_TABLE, _D), np.float32)
 _SALT = _rng.integers(1, 1 << 63, _D, dtype=np.uint64) * U(2) + U(1)
 
 
-def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, size: int = SHINGLE) -> Three:
     """Distinct shingles (44 bits) of each text in order, their counts, and the n + 1 offsets of the texts.
 
     Words are lower-cased runs of letters and digits (and of anything outside ASCII). A text with fewer words than ``size`` has
@@ -115,7 +115,7 @@ def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return counts * idf[(ids & U((1 << DF_BITS) - 1)).astype(np.int64)]
 
 
-def samples(ids: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def samples(ids: np.ndarray, w: np.ndarray) -> Two:
     """The D shingles drawn from one document, and their t."""
     lw = np.log(w).astype(np.float32)[:, None]
     best = np.full(_D, np.inf, np.float32)
@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, idf, text: str, doc_id: str) -> DataFrame:
     return docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, h bigint, weight double, bands array<bigint>")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def similarity(a: Two, b: Two) -> float:
     """Weighted Jaccard similarity of two sorted sets with weights."""
     if len(a[0]) > len(b[0]):
         a, b = b, a

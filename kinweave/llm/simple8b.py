@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_VOCABULARY, encoder
 from .common import bytes_of, col, pieces, small_batches
-from .kernels import ranges, sliding
+from .kernels import Four, ranges, sliding
 
 BLOCK = 240
 U = np.uint64
@@ -39,7 +39,7 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(values: np.ndarray, offs: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack(values: np.ndarray, offs: np.ndarray, block: int = BLOCK) -> Four:
     """Encode texts' ids, values[offs[i]:offs[i + 1]] being those of text i.
 
     Gives the words, the n + 1 offsets of the texts in them, each block's first word counted from its text's first, and the

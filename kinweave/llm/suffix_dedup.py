@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, col, cut, fresh, join_keys, pieces, release, small_batches, split, text_hash
-from .kernels import U, mix, powers, ranges, sliding, span_hash, spans, word_hashes
+from .kernels import U, Three, Two, mix, powers, ranges, sliding, span_hash, spans, word_hashes
 
 #: Words of a repeated passage at least, and of an anchor.
 LENGTH, ANCHOR = 50, 20
@@ -41,7 +41,7 @@ def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * inverse[: n - size + 1])
 
 
-def anchors(h: np.ndarray, words: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, words: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> Two:
     """Positions and hashes of the anchors of all texts; words are the n + 1 word offsets of the texts."""
     if len(h) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -109,7 +109,7 @@ def expand(s: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return ~set_[:n]
 
 
-def classes(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(segments: list[np.ndarray], length: int = LENGTH) -> Three:
     """Class, segment and place in it of every run of ``length`` words; equal runs have the same class."""
     n = len(segments)
     sizes = np.array([len(x) for x in segments])
@@ -125,7 +125,7 @@ def classes(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarra
     return own[on], seg[on], place[on]
 
 
-def classes_by_hash(segments: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes_by_hash(segments: list[np.ndarray], length: int = LENGTH) -> Three:
     """As ``classes``, by hashes of the runs."""
     runs = [gram_hashes(mix(x.astype(np.uint64) + U(1)), length) if len(x) >= length else np.zeros(0, np.uint64) for x in segments]
     counts = np.array([len(r) for r in runs])
