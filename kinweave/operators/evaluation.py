@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import isfinite
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +151,58 @@ def two_phase_match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return exact.drop("pred_id").unionByName(rest)
 
 
+def predicted_mentions(entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, entity_type, char_start, char_end, text, entity_id, pred_id: every position of every entity in its document's text.
+
+    chunks need chunk_id and global_start; a position that the overlap of two chunks gives twice counts once.
+    """
+    rows = entities.select("doc_id", F.col("type").alias("entity_type"), "text", "entity_id", F.explode("positions").alias("p"))
+    rows = rows.select("doc_id", "entity_type", "text", "entity_id", F.col("p.chunk_id").alias("chunk_id"), F.col("p.char_start").alias("s"), F.col("p.char_end").alias("e"))
+    at = F.col("global_start")
+    placed = rows.join(chunks.select("chunk_id", "global_start"), "chunk_id").select("doc_id", "entity_type", (F.col("s") + at).alias("char_start"), (F.col("e") + at).alias("char_end"), "text", "entity_id")
+    return placed.dropDuplicates(["entity_id", "char_start", "char_end"]).withColumn("pred_id", F.concat_ws(":", "entity_id", F.col("char_start").cast("string"), F.col("char_end").cast("string")))
+
+
+def with_document_ids(gold: DataFrame, docs: DataFrame) -> DataFrame:
+    """gold (doc_id, doc_name, ...) with ids of docs (doc_id, path): an id that docs has stays, others are looked up by file name.
+
+    A name that several documents have, or none, raises when the plan runs.
+    """
+    known = docs.select(F.col("doc_id").alias("known_id")).distinct()
+    names = docs.groupBy(F.element_at(F.split("path", "/"), -1).alias("file_name")).agg(F.min("doc_id").alias("named_id"), F.count_distinct("doc_id").alias("n_named"))
+    rows = gold.join(known, F.col("doc_id") == F.col("known_id"), "left").join(names, F.element_at(F.split("doc_name", "/"), -1) == F.col("file_name"), "left")
+    wrong = F.raise_error(F.concat(F.lit("no single document is named "), F.coalesce("doc_name", F.lit("?"))))
+    found = F.coalesce("known_id", F.when(F.col("n_named") == 1, F.col("named_id")).otherwise(wrong))
+    return rows.withColumn("doc_id", found).select(*gold.columns)
+
+
+def place_in(text: str, mentions: list[tuple[int, int, str]], back: int = 256) -> list[tuple[int, int] | None]:
+    """Where each mention (start, end, its text), in order, lies in a text: where it says if the text agrees; else the first place
+    after the last one found, else the first from ``back`` characters before its start, else anywhere, else None."""
+    out: list[tuple[int, int] | None] = []
+    last = 0
+    for start, end, own in mentions:
+        at = start if own and text[start:end] == own else -1
+        for low in (last, max(start - back, 0), 0) if own and at < 0 else ():
+            at = text.find(own, low)
+            if at >= 0:
+                break
+        out.append((at, at + len(own)) if at >= 0 else None)
+        last = at + len(own) if at >= 0 else last
+    return out
+
+
+def realigned(gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """gold with char_start and char_end in the documents' own texts (doc_id, text); null where a mention isn't found."""
+
+    def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["char_start", "char_end", "mention_id"])
+        found = place_in(own.text.iloc[0] or "" if len(own) else "", list(zip(rows.char_start.astype(int), rows.char_end.astype(int), rows.text.fillna(""))))
+        return rows.assign(char_start=pd.array([f and f[0] for f in found], "Int32"), char_end=pd.array([f and f[1] for f in found], "Int32"))
+
+    return gold.groupBy("doc_id").cogroup(texts.select("doc_id", "text").groupBy("doc_id")).applyInPandas(run, gold.schema)
+
+
 def macro_average(folds: DataFrame, metrics: list[str]) -> DataFrame:
     return folds.agg(*[F.round(F.avg(m), 6).alias(m) for m in metrics])
 

@@ -142,3 +142,23 @@ def test_regressions():
     assert evaluation.regression_checks({}) == ["no metrics"]
     assert evaluation.regression_checks({"ari": float("nan")})
     assert not evaluation.regression_checks({"ari": 0.8}, {"ari": 0.84}) and evaluation.regression_checks({"ari": 0.78}, {"ari": 0.84})
+
+
+def test_gold_offsets(spark):
+    text = "Kari met Per. Per met Kari."
+    assert evaluation.place_in(text, [(0, 4, "Kari"), (8, 11, "Per"), (12, 15, "Per"), (99, 103, "Kari"), (0, 3, "Ola"), (0, 0, "")]) == [(0, 4), (9, 12), (14, 17), (22, 26), None, None]
+    gold = spark.createDataFrame([("m1", "d", 5, 9, "Kari"), ("m2", "x", 0, 3, "Per")], "mention_id string, doc_id string, char_start int, char_end int, text string")
+    got = {r.mention_id: (r.char_start, r.char_end) for r in evaluation.realigned(gold, spark.createDataFrame([("d", text), ("other", text)], "doc_id string, text string")).collect()}
+    assert got == {"m1": (0, 4), "m2": (None, None)}
+
+
+def test_documents_by_name_and_positions_in_them(spark):
+    docs = spark.createDataFrame([("i1", "a/x.docx"), ("i2", "b/y.docx"), ("i3", "c/y.docx")], "doc_id string, path string")
+    gold = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, doc_name string")
+    assert sorted(r.doc_id for r in evaluation.with_document_ids(gold(("i2", "?"), ("old", "x.docx")), docs).collect()) == ["i1", "i2"]
+    for bad in ("y.docx", "none.docx"):
+        with pytest.raises(Exception, match="no single document"):
+            evaluation.with_document_ids(gold(("old", bad)), docs).collect()
+    e = spark.createDataFrame([("d", "PER", "Per", "e1", [("c1", 5, 8), ("c2", 1, 4), ("c2", 7, 10)])], "doc_id string, type string, text string, entity_id string, positions array<struct<chunk_id:string,char_start:int,char_end:int>>")
+    c = spark.createDataFrame([("c1", 0), ("c2", 4)], "chunk_id string, global_start int")
+    assert sorted((r.char_start, r.char_end) for r in evaluation.predicted_mentions(e, c).collect()) == [(5, 8), (11, 14)]
