@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir; set a temporary folder only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kinweave-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.graph import ensure_checkpoints
+
 GOLD = "case_id string, doc_id string, doc_name string, mention_id string, char_start int, char_end int, text string, entity_type string, group_id string, canonical_text string, notes string"
 GOLD_REQUIRED = "mention_id group_id doc_id entity_type char_start char_end text".split()
 CLUSTERS = "run_id string, cluster_count int, clusters array<struct<cluster_id:string,cluster_size:int,confidence:double,min_edge_score:double,density:double,canonical_name:string,canonical_type:string,suspicious_merge:boolean,routing_actions_by_profile:struct<balanced_hitl:string,quick_low_hitl:string>>>"
@@ -120,6 +122,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append_new(rows: DataFrame, path: str, keys: list[str], partition: str = "run_id") -> int:
     """Append the rows whose keys the table lacks; gives their number. The new rows are read against the old table first."""
     spark = rows.sparkSession
+    ensure_checkpoints(spark)
     if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     rows = rows.checkpoint()
