@@ -1,8 +1,9 @@
 """Document fingerprints: content-defined chunks and containment.
 
-A text's bytes are cut where a gear hash of the last 64 bytes has zeros in given bits: ``STRICT`` bits before a chunk has reached
-``NORMAL`` bytes, the fewer ``LOOSE`` bits after (normalised chunking, Xia et al. 2016), none before ``LEAST`` and at ``MOST`` at
-last. Boundaries depend on the bytes near them, so an insertion moves the chunks after it and changes only those that it touches.
+A text's bytes are cut where a gear hash has zeros in given bits: ``STRICT`` bits before a chunk has reached ``NORMAL`` bytes, the
+fewer ``LOOSE`` bits after (normalised chunking, Xia et al. 2016), none before ``LEAST`` and at ``MOST`` at last. The bits lie so low
+that only the last ``WINDOW`` bytes move them: an insertion moves the chunks after it and changes only those that it touches. Chunks
+are about 25 bytes, so that near copies with scattered edits have most of them in common.
 A fingerprint is the set of the chunks' 64-bit digests, each weighing the chunk's bytes. The containment of a in b is the weight
 of a's chunks that b has too, over the weight of a's chunks.
 """
@@ -14,25 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, cut, pieces, small_batches, text_hash
+from .common import KeyFilter, bytes_of, col, cut, pieces, small_batches, text_hash, written
 from .kernels import BYTE_HASH, U, Two, mix, span_hash
 
-LEAST, NORMAL, MOST = 64, 256, 1024
+LEAST, NORMAL, MOST = 8, 24, 96
 GEAR = mix(np.arange(1, 257, dtype=np.uint64))
 _SPREAD = 0x9D3F_5B71_A6E8_C24D  # bits in odd order, so that the masks don't look at neighbours only
-STRICT = U(0b1111111111 << 54)
-LOOSE = U(0b111111 << 58)
+#: Bytes that the bits of the masks depend on.
+WINDOW = 8
+STRICT = U(0b11111 << WINDOW - 5)
+LOOSE = U(0b111 << WINDOW - 3)
 #: Containment from which a pair is reported.
 THRESHOLD = 0.5
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
-    """Gear hash after each byte: the sum of gear[b[i - j]] << j for j < 64, by doubling the window."""
+    """Gear hash after each byte, its lowest ``WINDOW`` bits at least: the sum of gear[b[i - j]] << j, by doubling the window."""
     h, width = GEAR[buf], 1
-    while width < 64:
+    while width < WINDOW:
         if len(h) > width:
             later = h[width:] + (h[:-width] << U(width))
             h = np.concatenate([h[:width], later])
@@ -112,36 +115,50 @@ def containments(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more than the share it may lack, which no pair at the threshold can miss.
     """
     key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "h")
-    rows = prints.where(F.size("digests") > 0).select(key.alias("key"), "digests", "sizes", "n_bytes", F.xxhash64("digests", "sizes").alias("set"), F.size("digests").alias("n"))
-    rows = cut(rows)
-    # A class is equal sets; the hash and the exact sums name it.
-    classes = rows.groupBy("set", "n", "n_bytes").agg(F.min("key").alias("key"))
-    same = rows.join(classes.withColumnRenamed("key", "rep"), ["set", "n", "n_bytes"]).where("key <> rep").select("key", "rep", "n_bytes").distinct()
-    reps = cut(rows.join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "digests", "sizes", "n_bytes"))
-    chunks = reps.select("key", "n_bytes", F.explode(F.arrays_zip("digests", "sizes")).alias("c")).select("key", "n_bytes", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size"))
-    common = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = cut(chunks.join(common, "digest"))
-    # From a document's most frequent chunks on: those that together weigh less than the threshold needn't be looked up.
-    rest = F.sum("size").over(Window.partitionBy("key").orderBy(F.desc("df"), "digest"))
-    probes = held.withColumn("upto", rest).where(F.col("upto") >= F.ceil(F.lit(threshold) * F.col("n_bytes")))
-    found = probes.select("digest", F.col("key").alias("a")).join(held.select("digest", F.col("key").alias("b")), "digest").where("a <> b").select("a", "b").distinct()
-    sized = reps.select("key", F.arrays_zip("digests", "sizes").alias("chunks"), "n_bytes")
-    pairs = found.join(sized.withColumnRenamed("key", "a"), "a").join(reps.select(F.col("key").alias("b"), F.col("digests").alias("other")), "b")
+    rows = prints.where(F.size("digests") > 0).select(key.alias("key"), "digests", "sizes", "n_bytes", F.xxhash64("digests", "sizes", "n_bytes").alias("set"))
+    # The digests are computed anew for each use: they are about as large as the texts.
+    # A class is equal sets; the hash names it.
+    members = cut(rows.select("set", "key", "n_bytes").distinct())
+    classes = members.groupBy("set").agg(F.min("key").alias("rep"))
+    chunks = rows.select("set", "n_bytes", F.explode(F.arrays_zip("digests", "sizes")).alias("c")).select("set", "n_bytes", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size"))
+    # Most chunks occur once and are in no pair: they are counted by digest alone, and go before anything else shuffles.
+    common = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    found = KeyFilter(common.select("digest"))
+    held = chunks.where(found.holds(F.col("digest"))) if found.usable else chunks
+    held = held.join(common, "digest").dropDuplicates(["digest", "set"])
+    most_first = F.sort_array(F.collect_list(F.struct("df", "digest", "size")), asc=False)
+    sized = written(held.groupBy("set", "n_bytes").agg(most_first.alias("chunks")))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From a class's most frequent chunks on: those that together weigh less than the threshold needn't be looked up."""
+        for batch in batches:
+            flat, until = batch.column(2).flatten(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            upto = np.concatenate([[0], np.cumsum(flat.field(2).to_numpy().astype(np.int64))])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(until))
+            need = np.ceil(threshold * batch.column(1).to_numpy())
+            take = pa.array(np.flatnonzero(upto[1:] - upto[until[row]] >= need[row]))
+            yield pa.RecordBatch.from_arrays([flat.field(1).take(take), batch.column(0).take(pa.array(row[take.to_numpy()]))], ["digest", "a"])
+
+    probes = sized.mapInArrow(rarest, "digest bigint, a bigint")
+    found = probes.join(sized.select(F.explode("chunks.digest").alias("digest"), F.col("set").alias("b")), "digest").where("a <> b").select("a", "b").distinct()
+    pairs = found.join(sized.withColumnRenamed("set", "a"), "a").join(sized.select(F.col("set").alias("b"), F.col("chunks.digest").alias("other")), "b")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunk, other = batch.column(2), batch.column(3)
             flat, until = chunk.flatten(), chunk.offsets.to_numpy() - chunk.offsets[0].as_py()
-            digest, size = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+            digest, size = flat.field(1).to_numpy(), flat.field(2).to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(chunk)), np.diff(until))
             theirs, their_row = other.flatten().to_numpy(), np.repeat(np.arange(len(other)), np.diff(other.offsets.to_numpy()))
             mixed = lambda d, r: mix(d.view(np.uint64) + r.astype(np.uint64) * U(_SPREAD | 1))
             hit = np.isin(mixed(digest, row), mixed(theirs, their_row))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.bincount(row[hit], size[hit], len(chunk)).astype(np.int64)), batch.column(4)], ["a", "b", "shared_bytes", "n_bytes"])
 
-    kind = reps.schema["key"].dataType.simpleString()
-    weighed = pairs.select("a", "b", "chunks", "other", "n_bytes").mapInArrow(weigh, f"a {kind}, b {kind}, shared_bytes bigint, n_bytes bigint")
+    weighed = pairs.select("a", "b", "chunks", "other", "n_bytes").mapInArrow(weigh, "a bigint, b bigint, shared_bytes bigint, n_bytes bigint")
     weighed = weighed.where(F.col("shared_bytes") >= F.lit(threshold) * F.col("n_bytes"))
+    for side in "ab":
+        weighed = weighed.join(classes.select(F.col("set").alias(side), F.col("rep").alias(f"key_{side}")), side).drop(side).withColumnRenamed(f"key_{side}", side)
+    same = members.join(classes, "set").where("key <> rep")
     twins = same.select(F.col("key").alias("a"), F.col("rep").alias("b"), F.col("n_bytes").alias("shared_bytes"), "n_bytes")
     twins = twins.unionByName(twins.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared_bytes", "n_bytes"))
     return weighed.unionByName(twins).select(F.col("a.id").alias("doc_id"), F.col("b.id").alias("in_doc_id"), "shared_bytes", "n_bytes", (F.col("shared_bytes") / F.col("n_bytes")).alias("containment"))

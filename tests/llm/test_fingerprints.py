@@ -86,6 +86,22 @@ def test_pairs_are_those_of_brute_force(spark):
     assert {(r.doc_id, r.in_doc_id, r.shared_bytes, r.n_bytes) for r in got} == want and len(got) == len(want) > 50
 
 
+def test_near_copies_are_found(spark):
+    """Copies with every 30th word changed, which are known without any chunk."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    rows, want = [], set()
+    for n in range(0, 60, 2):
+        words = [word() for _ in range(250)]
+        rows.append((n, " ".join(words)))
+        for at in range(rng.randrange(30), 250, 30):
+            words[at] = word()
+        rows.append((n + 1, " ".join(words)))
+        want |= {(n, n + 1), (n + 1, n)}
+    got = C.containments(C.fingerprints(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)))
+    assert {(r.doc_id, r.in_doc_id) for r in got.collect()} == want
+
+
 def test_empty(spark):
     assert C.containments(C.fingerprints(spark.createDataFrame([], SCHEMA))).count() == 0
     assert not len(C.gear(np.zeros(0, np.uint8)))
