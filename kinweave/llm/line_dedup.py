@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line (in at least two and at most ``RARE_SHARE`` of all documents) overlap: each later document is
-aligned with the first document that has the line, so that candidates grow with the lines and not with their square, and every
-rare line of a later document is looked for where it stands first. The two lists of lines are aligned by patience diff: equal
-ends are matched, then lines that occur once in either, in the longest order that both have, then the gaps likewise. A run of
-matched lines that are adjacent in both is a common block; if it has a rare line, it is deleted from the later document.
+A line is rare if at least two and at most ``RARE_SHARE`` of all different documents have it. Documents that share a rare line
+overlap: each later document is aligned with the earlier ones by patience diff: equal ends
+are matched, then lines that occur once in either, in the longest order that both have, then the gaps likewise. A run of matched
+lines that are adjacent in both is a common block; if it has a rare line, it is deleted from the
+later document. The result is that of all pairs. First a document is aligned with the first holder of each of its keys (``keys``);
+then those of whose shared lines some are left are aligned with all other holders of the keys of these lines, for only they can
+delete them. Of equal lists of lines the first stands for all, and its copies are deleted by it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .kernels import BYTE_HASH, SPACE, Two, span_hash
 
 #: A line is rare in at most this share of the documents, or this many if that is more.
 RARE_SHARE, RARE_LEAST = 0.01, 20
+_MASK = (1 << 63) - 1
 
 
 def line_hashes(buf: np.ndarray, offs: np.ndarray) -> Two:
@@ -107,6 +110,31 @@ def blocks(matched: list[tuple[int, int]], b: list[int], rare: set[int]) -> set[
     return gone
 
 
+def keys(lines: list[int], rare: set[int], common: set[int]) -> Iterator[tuple[int, int, int]]:
+    """Keys of the lines that other documents have too: hash, and the lines from and to which can't be deleted without it.
+
+    A block that deletes a line holds all lines between it and the nearest rare line on one side.
+    So an earlier document that can delete a line has one of the line's keys: the line if it is rare, else the lines up to the
+    next rare one before or after it.
+    """
+    n, at = len(lines), 0
+    while at < n:
+        end = at
+        while end < n and (not lines[end] or lines[end] in rare or lines[end] in common):
+            end += 1
+        for salt, places in ((1, range(at, end)), (2, range(end - 1, at - 1, -1))):
+            h = None
+            for i in places:
+                if lines[i] in rare:
+                    h = hash((salt, lines[i]))
+                    if salt == 1:
+                        yield hash((0, lines[i])) & _MASK, i, i + 1
+                elif h is not None:
+                    h = hash((h, lines[i]))
+                    yield h & _MASK, i, i + 1
+        at = end + 1
+
+
 def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, h, lines (the numbers of the deleted lines, from 0), from_ids (the documents they were aligned with).
 
@@ -126,38 +154,66 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["d", "h", "lines"])
 
     lists = rows.mapInArrow(hashes, f"d {kind}, h bigint, lines array<bigint>").where(F.size("lines") > 0)
-    lists = cut(lists.select(F.struct(F.col("d").isNull().alias("no"), F.col("d").alias("id"), "h").alias("key"), "lines"))
-    lines = lists.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    # A row that is repeated counts again towards df; its lines go to the same first document.
+    lists = cut(lists.select(F.struct(F.col("d").isNull().alias("no"), F.col("d").alias("id"), "h").alias("key"), "lines", F.xxhash64("lines").alias("list")))
+    struct = lists.schema["key"].dataType.simpleString()
+    firsts = cut(lists.groupBy("list").agg(F.min("key").alias("key"), F.first("lines").alias("lines")))
+    lines = firsts.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     most = F.greatest(F.lit(RARE_LEAST), F.floor(F.lit(RARE_SHARE) * F.lit(lists.count())))
-    rare = lines.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("df")).where((F.col("df") <= most) & (F.col("first") < F.col("last"))).select("line", "first")
-    held = lines.join(rare, "line").where(F.col("first") < F.col("key")).distinct()
-    held = cut(held)
-    # A document's own row comes before its partners' rows, so that a task holds one document and one partner at a time.
-    texts = lists.dropDuplicates(["key"])
-    none = F.lit(None).cast("array<bigint>")
-    own = held.groupBy("key").agg(F.collect_set("line").alias("rare")).join(texts, "key").select("key", F.col("key").alias("first"), F.lit(False).alias("second"), "lines", "rare")
-    partners = held.select("key", "first").distinct().join(texts.select(F.col("key").alias("first"), "lines"), "first").select("key", "first", F.lit(True).alias("second"), "lines", none.alias("rare"))
-    jobs = own.unionByName(partners).select(F.xxhash64("key").alias("g"), "*").repartition("g").sortWithinPartitions("g", "key", "second", "first")
+    known = lines.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("line", (F.col("df") <= most).alias("is_rare"))
+    marks = lines.join(known, "line").groupBy("key").agg(F.collect_set(F.when(F.col("is_rare"), F.col("line"))).alias("rare"), F.collect_set(F.when(~F.col("is_rare"), F.col("line"))).alias("common"))
+    shared = cut(firsts.join(marks, "key").select("key", "lines", "rare", "common"))
+    # Copies of a list: all lines are one block, which the first deletes.
+    none = F.array().cast("array<bigint>")
+    copies = lists.join(firsts.select("list", F.col("key").alias("first")), "list").where("first < key").dropDuplicates(["key"])
+    copies = copies.join(shared.select(F.col("key").alias("first"), "common"), "first", "left")
+    overlaps = (F.size(F.array_except("lines", F.coalesce("common", none))) > F.when(F.array_contains("lines", 0), 1).otherwise(0))
+    copies = copies.where(overlaps).select("key", "first", F.sequence(F.lit(0), F.size("lines") - 1).alias("lines"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of the lines that aren't gone."""
+        for batch in batches:
+            where, out = [], []
+            for i, (b, rare, common, gone) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:5]))):
+                gone_ = set(gone)
+                found = {h for h, s, e in keys(b, set(rare), set(common)) if not gone_ or any(j not in gone_ for j in range(s, e))}
+                where.extend([i] * len(found))
+                out.extend(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(out, pa.int64())], ["key", "k"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: list[int] = []
         rare_: set[int] = set()
+        gone_: set[int] = set()
         for batch in batches:
             second, where, out = batch.column(3).to_pylist(), [], []
             for i in range(batch.num_rows):
-                lines_ = batch.column(4)[i].values.to_pylist()
                 if not second[i]:
-                    b, rare_ = lines_, set(batch.column(5)[i].values.to_pylist())
-                elif found := blocks(patience(lines_, b), b, rare_):
+                    b, rare_, gone_ = batch.column(4)[i].as_py(), set(batch.column(5)[i].as_py()), set(batch.column(6)[i].as_py())
+                elif len(gone_) < len(b) and (found := blocks(patience(batch.column(4)[i].as_py(), b), b, rare_) - gone_):
+                    gone_ |= found
                     where.append(i)
                     out.append(sorted(found))
             take = pa.array(where, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(out, pa.list_(pa.int32()))], ["key", "first", "lines"])
 
-    struct = lists.schema["key"].dataType.simpleString()
-    gone = jobs.mapInArrow(align, f"key {struct}, first {struct}, lines array<int>").groupBy("key")
-    gone = gone.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.array_sort(F.collect_set("first.id")).alias("from_ids"))
+    def aligned(pairs: DataFrame, docs_: DataFrame) -> DataFrame:
+        # A document's own row comes before its partners' rows, so that a task holds one document and one partner at a time.
+        own = docs_.join(pairs.select("key").distinct(), "key", "left_semi").select("key", F.col("key").alias("first"), F.lit(False).alias("second"), "lines", "rare", "gone")
+        partners = pairs.join(shared.select(F.col("key").alias("first"), "lines"), "first").select("key", "first", F.lit(True).alias("second"), "lines", none.alias("rare"), F.array().cast("array<int>").alias("gone"))
+        jobs = own.unionByName(partners).select(F.xxhash64("key").alias("g"), "*").repartition("g").sortWithinPartitions("g", "key", "second", "first")
+        return cut(jobs.mapInArrow(align, f"key {struct}, first {struct}, lines array<int>"))
+
+    start = shared.withColumn("gone", F.array().cast("array<int>"))
+    held = cut(start.mapInArrow(keyed, f"key {struct}, k bigint"))
+    heads = held.groupBy("k").agg(F.min("key").alias("first"))
+    pairs = cut(held.join(heads, "k").where("first < key").select("key", "first").distinct())
+    one = aligned(pairs, start)
+    flat = F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines"))))
+    after = cut(shared.join(one.groupBy("key").agg(flat.alias("gone")), "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))))
+    after = after.where(F.size("gone") < F.size("lines"))
+    rest = after.mapInArrow(keyed, f"key {struct}, k bigint").join(held.select("k", F.col("key").alias("first")), "k").where("first < key").select("key", "first").distinct()
+    two = aligned(cut(rest.join(pairs, ["key", "first"], "left_anti")), after)
+    gone = one.unionByName(two).unionByName(copies).groupBy("key").agg(flat.alias("lines"), F.array_sort(F.collect_set("first.id")).alias("from_ids"))
     return gone.select(F.col("key.id").alias("doc_id"), F.col("key.h").alias("h"), "lines", "from_ids")
 
 

@@ -76,3 +76,39 @@ def test_patience():
 
 def test_empty(spark):
     assert L.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def left_of(spark, texts):
+    docs = spark.createDataFrame([(i, t, -1, "x") for i, t in enumerate(texts)], SCHEMA)
+    return {r.doc_id: r.text for r in L.line_dedup(docs).collect()}
+
+
+def test_a_document_is_aligned_with_all_earlier_ones(spark):
+    p, q = ["p one", "p two", "p three"], ["q one", "q two"]
+    texts = ["\n".join(x) for x in (p + q, q + p, ["new", *q, *p])]
+    assert left_of(spark, texts) == {0: texts[0], 1: "\n".join(q), 2: "new"}
+
+
+def test_deletions_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    pool = [f"line {i}" for i in range(60)]
+    rows = []
+    for n in range(150):
+        lines = [x for at in rng.choices(range(60), k=rng.randint(1, 4)) for x in pool[at : at + rng.randint(1, 4)]]
+        for _ in range(rng.randint(0, 3)):
+            lines.insert(rng.randint(0, len(lines)), rng.choice(["", "common", f"own {n}"]))
+        rows.append((n, "\n".join(["start", *lines])))
+    docs = {n: (t[:-1] if t.endswith("\n") else t).split("\n") for n, t in rows}
+    number = {x: i + 1 for i, x in enumerate(sorted({x for d in docs.values() for x in d} - {""}))} | {"": 0}
+    lists = {tuple(d) for d in docs.values()}
+    df = {x: sum(x in d for d in lists) for x in number}
+    rare = {number[x] for x in df if x and df[x] <= L.RARE_LEAST}
+    want = {}
+    for k in docs:
+        b, gone = [number[x] for x in docs[k]], set()
+        for f in range(k):
+            gone |= L.blocks(L.patience([number[x] for x in docs[f]], b), b, rare)
+        if gone:
+            want[k] = sorted(gone)
+    got = {r.doc_id: list(r.lines) for r in L.deletions(spark.createDataFrame([(i, t, -1, "x") for i, t in rows], SCHEMA)).collect()}
+    assert got == want and len(want) > 100
