@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A line is rare if at least two and at most ``RARE_SHARE`` of all different documents have it. Documents that share a rare line
-overlap: each later document is aligned with the earlier ones by patience diff: equal ends
+A line is rare if at least two and at most ``RARE_SHARE`` of all different documents have it. Documents that share a rare line, or
+``RUN`` lines in a row however frequent, overlap: each later document is aligned with the earlier ones by patience diff: equal ends
 are matched, then lines that occur once in either, in the longest order that both have, then the gaps likewise. A run of matched
-lines that are adjacent in both is a common block; if it has a rare line, it is deleted from the
+lines that are adjacent in both is a common block; if it has a rare line or ``RUN`` lines that aren't blank, it is deleted from the
 later document. The result is that of all pairs. First a document is aligned with the first holder of each of its keys (``keys``);
 then those of whose shared lines some are left are aligned with all other holders of the keys of these lines, for only they can
 delete them. Of equal lists of lines the first stands for all, and its copies are deleted by it.
@@ -25,6 +25,8 @@ from .kernels import BYTE_HASH, SPACE, Two, span_hash
 
 #: A line is rare in at most this share of the documents, or this many if that is more.
 RARE_SHARE, RARE_LEAST = 0.01, 20
+#: So many lines in a row, blank ones not counted, are an overlap even if none of them is rare.
+RUN = 3
 _MASK = (1 << 63) - 1
 
 
@@ -97,14 +99,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def blocks(matched: list[tuple[int, int]], b: list[int], rare: set[int]) -> set[int]:
-    """Lines of b in common blocks that have a rare line."""
+    """Lines of b in common blocks that have a rare line or ``RUN`` lines that aren't blank."""
     gone: set[int] = set()
     at = 0
     while at < len(matched):
         end = at + 1
         while end < len(matched) and matched[end][0] == matched[end - 1][0] + 1 and matched[end][1] == matched[end - 1][1] + 1:
             end += 1
-        if any(b[j] in rare for _, j in matched[at:end]):
+        if any(b[j] in rare for _, j in matched[at:end]) or sum(b[j] != 0 for _, j in matched[at:end]) >= RUN:
             gone.update(j for _, j in matched[at:end])
         at = end
     return gone
@@ -113,9 +115,9 @@ def blocks(matched: list[tuple[int, int]], b: list[int], rare: set[int]) -> set[
 def keys(lines: list[int], rare: set[int], common: set[int]) -> Iterator[tuple[int, int, int]]:
     """Keys of the lines that other documents have too: hash, and the lines from and to which can't be deleted without it.
 
-    A block that deletes a line holds all lines between it and the nearest rare line on one side.
+    A block that deletes a line holds all lines between it and the nearest rare line on one side, or is a run without rare lines.
     So an earlier document that can delete a line has one of the line's keys: the line if it is rare, else the lines up to the
-    next rare one before or after it.
+    next rare one before or after it, or ``RUN`` lines in a row.
     """
     n, at = len(lines), 0
     while at < n:
@@ -132,6 +134,11 @@ def keys(lines: list[int], rare: set[int], common: set[int]) -> Iterator[tuple[i
                 elif h is not None:
                     h = hash((h, lines[i]))
                     yield h & _MASK, i, i + 1
+        full = [i for i in range(at, end) if lines[i]]
+        for k in range(len(full) - RUN + 1):
+            before = full[k - 1] + 1 if k else at
+            after = full[k + RUN] if k + RUN < len(full) else end
+            yield hash((3, *lines[full[k] : full[k + RUN - 1] + 1])) & _MASK, before, after
         at = end + 1
 
 
@@ -166,7 +173,7 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     none = F.array().cast("array<bigint>")
     copies = lists.join(firsts.select("list", F.col("key").alias("first")), "list").where("first < key").dropDuplicates(["key"])
     copies = copies.join(shared.select(F.col("key").alias("first"), "common"), "first", "left")
-    overlaps = (F.size(F.array_except("lines", F.coalesce("common", none))) > F.when(F.array_contains("lines", 0), 1).otherwise(0))
+    overlaps = (F.size(F.array_except("lines", F.coalesce("common", none))) > F.when(F.array_contains("lines", 0), 1).otherwise(0)) | (F.size(F.filter("lines", lambda x: x != 0)) >= RUN)
     copies = copies.where(overlaps).select("key", "first", F.sequence(F.lit(0), F.size("lines") - 1).alias("lines"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,3 +112,13 @@ def test_deletions_are_those_of_all_pairs(spark):
             want[k] = sorted(gone)
     got = {r.doc_id: list(r.lines) for r in L.deletions(spark.createDataFrame([(i, t, -1, "x") for i, t in rows], SCHEMA)).collect()}
     assert got == want and len(want) > 100
+
+
+def test_large_groups_of_copies_go(spark):
+    """More than RARE_LEAST copies and near copies; single boilerplate lines stay."""
+    copy = "\n".join(f"c {i}" for i in range(5))
+    near = [f"n 0\nn 1\nn 2\nedit {i}\nn 3\nn 4\nn 5" for i in range(30)]
+    short = ["All rights reserved\nown " + str(i) for i in range(30)] + ["All rights reserved"] * 2
+    texts = [copy] * 30 + near + short
+    want = {0: copy, 30: near[0]} | {30 + i: f"edit {i}" for i in range(1, 30)} | {60 + i: t for i, t in enumerate(short)}
+    assert left_of(spark, texts) == want
