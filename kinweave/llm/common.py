@@ -6,22 +6,27 @@ same document; rows that share only the ``doc_id`` are different documents, orde
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Largest filter, in bytes, that is sent to every executor. Beyond it the operators shuffle instead.
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+#: Bytes of a filter at most: what is sent to every executor. A filter of more keys is fuller and lets more rows shuffle.
 FILTER_LIMIT = 64 << 20
-#: Bits of a filter for each key, and probes.
-FILTER_BITS, PROBES = 12, 4
+#: Bits of a filter for each key, probes, and keys among which a part looks for repeated ones.
+FILTER_BITS, PROBES, PART_KEYS = 12, 4, 2 << 20
 #: Bytes of text that the kernels work on at a time, and that a worker is sent at a time.
 CHUNK_BYTES, BATCH_BYTES = 512 << 10, 4 << 20
 
@@ -42,6 +47,35 @@ def release() -> None:
         trim(0)
 
 
+def released(run: Kernel) -> Kernel:
+    """The kernel of a mapInArrow, which gives freed memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def ranks(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Dense ranks of values of any type with an order; nulls are equal and last."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    if pa.types.is_nested(values.type) or pa.types.is_boolean(values.type) or pa.types.is_null(values.type):
+        plain = [_sortable(v) for v in values.to_pylist()]
+        place = {v: i for i, v in enumerate(sorted({v for v in plain if v is not None}))}
+        return np.array([len(place) if v is None else place[v] for v in plain], np.int64)
+    return pc.rank(values, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _sortable(v):
+    """Structs and lists as tuples that Python can sort, null parts last."""
+    if isinstance(v, dict):
+        v = list(v.values())
+    return tuple((x is None, None if x is None else _sortable(x)) if x is not None else (True,) for x in v) if isinstance(v, list) else v
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` doesn't have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
@@ -66,11 +100,14 @@ def text_hash(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; where none is set and all is on one machine (tests), a
+    temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (dir_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = dir_.get()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -83,25 +120,39 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, which goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, if the session still stands."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _probes(h: np.ndarray, bits: int, probes: int = PROBES) -> Iterator[np.ndarray]:
     a = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     b = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
-    for i in range(PROBES):
+    for i in range(probes):
         x = a + np.uint64(i) * b
         yield ((x >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
 class KeyFilter:
-    """A sharded Bloom filter over 64-bit keys, built by the executors and broadcast only up to ``FILTER_LIMIT``.
+    """A Bloom filter over 64-bit keys, built by the executors in parts and broadcast; it never exceeds ``limit`` bytes.
 
-    With ``repeated`` it holds only keys that occur at least twice: each shard keeps a plane of bits set once and a plane of
-    bits set again, and only the second leaves the executor. It has false positives and no false negatives.
+    It has ``FILTER_BITS`` bits for each key as long as they fit. Of more keys it gets fuller, so that more rows count as held
+    and shuffle: the plan and the result are the same for any number of keys. It has false positives and no false negatives.
+
+    With ``repeated`` it holds only keys that occur at least twice, and its size follows their number. Pass one deals all keys
+    to parts of about ``PART_KEYS`` at most; each part keeps a plane of bits and passes on the keys that find theirs set. Pass two
+    makes the filter of those.
     """
 
     def __init__(self, keys: DataFrame, repeated: bool = False, limit: int = FILTER_LIMIT, count: int | None = None):
@@ -109,61 +160,66 @@ class KeyFilter:
         small_batches(spark)
         name = keys.columns[0]
         n = keys.count() if count is None else count
-        self.usable = n * FILTER_BITS // 8 <= limit
-        if not self.usable:
-            return
-        shards = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions", "8")), n // 4096 + 1))
-        bits = max(1024, -(-n * FILTER_BITS // shards) // 64 * 64 + 64)
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), n // 4096 + 1), -(-n // PART_KEYS))
+        bits = max(1024, -(-n * FILTER_BITS // parts) // 64 * 64 + 64)
 
+        @released
+        def again(batches):
+            seen: dict[int, np.ndarray] = {}
+            for batch in batches:
+                part = batch.column(1).to_numpy(zero_copy_only=False)
+                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for s in np.unique(part):
+                    plane = seen.setdefault(int(s), np.zeros(bits, np.bool_))
+                    values, counts = np.unique(h[part == s], return_counts=True)
+                    where = list(_probes(values, bits))
+                    on = (counts > 1) | np.logical_and.reduce([plane[p] for p in where])
+                    for p in where:
+                        plane[p] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(values[on].view(np.int64)), pa.array(np.full(int(on.sum()), s, np.int32))], ["k", "s"])
+
+        dealt = keys.select(F.col(name).alias("k")).where("k is not null").withColumn("s", F.expr(f"cast(pmod(shiftrightunsigned(k, 40), {parts}) as int)")).repartition(parts, "s")
+        if repeated:
+            dealt = cut(dealt.mapInArrow(again, "k bigint, s int"))
+            n = dealt.count()
+        room = max(64, min(limit * 8, max(1024, n * FILTER_BITS)) // parts // 64 * 64)
+        probes = max(1, min(PROBES, round(0.7 * room * parts / max(n, 1))))
+
+        @released
         def build(batches):
-            seen: dict[int, Two] = {}
+            planes: dict[int, np.ndarray] = {}
             for batch in batches:
-                shard = batch.column(1).to_numpy(zero_copy_only=False)
+                part = batch.column(1).to_numpy(zero_copy_only=False)
                 h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for s in np.unique(shard):
-                    once, again = seen.setdefault(int(s), (np.zeros(bits, np.bool_), np.zeros(bits, np.bool_)))
-                    values, counts = np.unique(h[shard == s], return_counts=True)
-                    if repeated:
-                        where = list(_probes(values, bits))
-                        twice = counts > 1
-                        for p in where:
-                            again[p[twice | once[p]]] = True
-                        for p in where:
-                            once[p] = True
-                    else:
-                        for p in _probes(values, bits):
-                            again[p] = True
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array(list(seen), pa.int32()), "bits": pa.array([np.packbits(again).tobytes() for _, again in seen.values()], pa.binary())}
-            )
-
-        rows = (
-            keys.select(F.col(name).alias("k"))
-            .where("k is not null")
-            .withColumn("s", F.expr(f"cast(pmod(shiftrightunsigned(k, 40), {shards}) as int)"))
-            .repartition(shards, "s")
-            .mapInArrow(build, "shard int, bits binary")
-            .collect()
-        )
-        planes = np.zeros((shards, (bits + 7) // 8), np.uint8)
-        for r in rows:
-            planes[r.shard] |= np.frombuffer(r.bits, np.uint8)
-        self.shards, self.bits = shards, bits
+                for s in np.unique(part):
+                    plane = planes.setdefault(int(s), np.zeros(room, np.bool_))
+                    for p in _probes(h[part == s], room, probes):
+                        plane[p] = True
+            yield pa.RecordBatch.from_pydict({"s": pa.array(list(planes), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in planes.values()], pa.binary())})
+
+        # The rows of a part are in one partition, so the planes need no further shuffle.
+        planes = np.zeros((parts, room // 8), np.uint8)
+        for r in dealt.mapInArrow(build, "s int, bits binary").collect():
+            planes[r.s] |= np.frombuffer(r.bits, np.uint8)
+        self.parts, self.bits, self.probes = parts, room, probes
         self.broadcast = spark.sparkContext.broadcast(planes)
 
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each 64-bit key may be in the filter; for use on the executors."""
+        planes = self.broadcast.value
+        h = keys.astype(np.int64, copy=False).view(np.uint64)
+        part = ((h >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
+        found = np.ones(len(h), bool)
+        for p in _probes(h, self.bits, self.probes):
+            found &= (planes[part, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        return found
+
     def holds(self, key: Column) -> Column:
         """Whether a key may be in the filter (a null key is not)."""
-        shards, bits, sent = self.shards, self.bits, self.broadcast
 
         @pandas_udf("boolean")
         def may(k: pd.Series) -> pd.Series:
-            planes = sent.value
-            h = k.to_numpy(dtype=np.int64).view(np.uint64)
-            shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-            found = np.ones(len(h), bool)
-            for p in _probes(h, bits):
-                found &= (planes[shard, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-            return pd.Series(found)
+            return pd.Series(self.contains(k.to_numpy(dtype=np.int64)))
 
         return F.coalesce(may(F.coalesce(key, F.lit(0))) & key.isNotNull(), F.lit(False))
 
@@ -199,15 +255,9 @@ def pieces(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES) -> Iterato
         at = end
 
 
-def split(df: DataFrame, h: str, keys: DataFrame, limit: int = FILTER_LIMIT) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ``df`` whose key ``h`` may be among ``keys`` (one column of hashes), and those for which it surely isn't.
-
-    Where the filter would be too large to broadcast, all rows come first and the second is None: what follows then shuffles
-    more rows and gives the same result.
-    """
+def split(df: DataFrame, h: str, keys: DataFrame, limit: int = FILTER_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key ``h`` may be among ``keys`` (one column of hashes), and those for which it surely isn't."""
     found = KeyFilter(keys, limit=limit)
-    if not found.usable:
-        return df, None
     (flag,) = fresh(df, "flag")
     marked = df.withColumn(flag, found.holds(F.col(h)))
     return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
@@ -228,4 +278,4 @@ def without(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str =
     gone = gone.select(F.col("doc_id").alias(gd), F.col("h").alias(gh)).distinct()
     maybe, sure = split(docs.withColumn(h, text_hash(text)), h, gone.select(gh), limit)
     left = join_keys(maybe, gone, [(h, gh), (doc_id, gd)], "left_anti").drop(h)
-    return left if sure is None else sure.drop(h).unionByName(left)
+    return sure.drop(h).unionByName(left)

@@ -1,8 +1,9 @@
 """Exact dedup: two-pass Bloom filtering.
 
-Pass one reads only the hash of each text and builds a sharded filter of the hashes that occur at least twice. Pass two splits
-the rows: a row whose hash isn't in the filter has no copy and passes straight through; the others shuffle by text and one of
-each group stays. Where the filter would be larger than ``limit`` bytes, all rows take the second way, with the same result.
+Pass one shuffles only the hash of each text and builds a filter of the hashes that occur at least twice (see ``KeyFilter``). Pass
+two splits the rows: a row whose hash isn't in the filter has no copy and passes straight through; the others shuffle by text and
+one of each group stays. The filter has ``limit`` bytes at most; beyond 12 bits for each repeated text it gets fuller and more rows
+shuffle than need to, with the same plan and result.
 """
 
 from __future__ import annotations
@@ -40,8 +41,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lim
         best = rows.groupBy(h, col(text)).agg(F.min_by(F.struct(*[col(c) for c in others]), F.struct(*key)).alias(row))
         return best.select(*[col(text) if c == text else F.col(row)[c].alias(c) for c in docs.columns])
 
-    if not seen.usable:
-        return hashed.where(F.col(h).isNull()).drop(h).unionByName(first(hashed.where(F.col(h).isNotNull())))
     marked = hashed.withColumn(flag, seen.holds(F.col(h)))
     return marked.where(~F.col(flag)).drop(h, flag).unionByName(first(marked.where(F.col(flag))))
 

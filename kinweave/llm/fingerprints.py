@@ -124,7 +124,7 @@ def containments(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Most chunks occur once and are in no pair: they are counted by digest alone, and go before anything else shuffles.
     common = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     found = KeyFilter(common.select("digest"))
-    held = chunks.where(found.holds(F.col("digest"))) if found.usable else chunks
+    held = chunks.where(found.holds(F.col("digest")))
     held = held.join(common, "digest").dropDuplicates(["digest", "set"])
     most_first = F.sort_array(F.collect_list(F.struct("df", "digest", "size")), asc=False)
     sized = written(held.groupBy("set", "n_bytes").agg(most_first.alias("chunks")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .common import bytes_of, col, pieces, small_batches
+from .common import bytes_of, col, pieces, released, small_batches
 from .kernels import Four, ranges, sliding
 
 BLOCK = 240
@@ -154,6 +154,7 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     n_tokens; an empty text gives empty ones. Texts are encoded whole, however long. Other columns are not carried.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .common import bytes_of, col, pieces, small_batches
+from .common import bytes_of, col, pieces, released, small_batches
 
 RULES = ("majority", "start", "end")
 
@@ -59,6 +59,7 @@ def section_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
