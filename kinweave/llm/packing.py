@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_VOCABULARY, encoder
-from .common import bytes_of, col, cut, pieces, release, small_batches, text_hash
+from .common import bytes_of, col, cut, pieces, ranks, released, small_batches, text_hash
 
 #: Tokens of a sequence, pieces of a partition about, and exchange rounds at most.
 CAPACITY, PARTITION_PIECES, ROUNDS = 2048, 200_000, 3
@@ -53,15 +53,19 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs, by dual-feasible functions.
+    """Bins that any packing of items of these sizes needs (see ``lower_bound_of_histogram``)."""
+    return lower_bound_of_histogram(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def lower_bound_of_histogram(count: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs, by dual-feasible functions; count has the number of items of each size from 0 to capacity.
 
     f maps sizes to [0, 1] so that items that fit together sum to 1 at most; then the sum of f over all items, rounded up, is a
     bound. Used are the identity, Fekete and Schepers' u(k) (x if (k + 1) x is whole, else floor((k + 1) x) / k) for k to 20,
-    and U(e) (1 above 1 - e, x from e to 1 - e, 0 below), for every e among the sizes up to a half. All run on the histogram.
+    and U(e) (1 above 1 - e, x from e to 1 - e, 0 below), for every e among the sizes up to a half. Whole numbers throughout: sums
+    stay below 2**63 up to 10**11 items or so of 2048 tokens, above which Python's own take over.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = count.astype(np.int64 if int(count.sum()) * 21 * capacity < 1 << 62 else object)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     for k in range(1, 21):
@@ -73,13 +77,14 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     mass = np.concatenate([[0], np.cumsum(count * x)])
     e = np.arange(1, capacity // 2 + 1)
     bounds = above[capacity - e + 1] * capacity + mass[capacity - e + 1] - mass[e]
-    return max(best, int(-(-bounds.max() // capacity)))
+    return max([best, *(-(-int(v) // capacity) for v in bounds)])
 
 
 def token_pieces(docs: DataFrame, text: str, doc_id: str, capacity: int, vocabulary: str) -> DataFrame:
     """doc_id, h, piece, start, size: the pieces of each row; a map without shuffle."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
@@ -94,7 +99,6 @@ def token_pieces(docs: DataFrame, text: str, doc_id: str, capacity: int, vocabul
                     [part.column(0).take(take), part.column(1).take(take), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(np.minimum(n[row] - piece * capacity, capacity).astype(np.int32))],
                     ["doc_id", "h", "piece", "start", "size"],
                 )
-        release()
 
     return docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, h bigint, piece int, start bigint, size int")
 
@@ -104,7 +108,7 @@ def _pack(rows: DataFrame, capacity: int) -> DataFrame:
 
     def run(key, table):
         sizes = table.column("size").to_numpy().astype(np.int64)
-        by = np.lexsort((table.column("piece").to_numpy(), table.column("h").to_numpy(), table.column("doc_id").fill_null(0).to_numpy(), -sizes))
+        by = np.lexsort((table.column("piece").to_numpy(), table.column("h").to_numpy(), ranks(table.column("doc_id")), -sizes))
         table, sizes = table.take(pa.array(by)), sizes[by]
         own = best_fit_decreasing(sizes, capacity)
         n = int(own.max()) + 1
@@ -131,8 +135,9 @@ def best_fit_packing(
     sequence names the sequence (part and number), position the piece's first token in it, start its first token in the
     document, used the sequence's tokens; bins and bound are those of its part, certified tells that they are equal. No sequence
     exceeds ``capacity``, all tokens of all rows are packed once, and pieces that fill a sequence stand alone. Null and empty
-    texts have no tokens and no piece. Repeated rows and null doc_ids are packed like others. Ties go by size, doc_id, hash of
-    the text and piece, so the result doesn't depend on the order of the rows.
+    texts have no tokens and no piece; an empty table gives no rows. Repeated rows and null doc_ids (of any type; null is no other
+    id) are packed like others, very long texts as many pieces. Ties go by size, doc_id (null last), hash of the text and piece, so
+    the result doesn't depend on the order of the rows.
     """
     small_batches(docs.sparkSession)
     found = cut(token_pieces(docs, text, doc_id, capacity, vocabulary))
@@ -190,8 +195,4 @@ def certify(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> Dat
     return spark.createDataFrame([(n, bound)], "sequences bigint, bound bigint")
 
 
-def lower_bound_of_histogram(count: np.ndarray, capacity: int) -> int:
-    return lower_bound(np.repeat(np.arange(capacity + 1), count), capacity) if count.sum() < 10_000_000 else -(-int((count * np.arange(capacity + 1)).sum()) // capacity)
-
-
 __all__ = ["best_fit_packing", "best_fit_decreasing", "certify", "lower_bound"]

@@ -101,3 +101,36 @@ def test_parts_with_a_gap_exchange_documents(spark, monkeypatch):
 
 def test_empty(spark):
     assert P.best_fit_packing(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_result_does_not_depend_on_the_order_of_rows(spark):
+    """A null id and id 0 have the same text; ids may be strings."""
+    rng = random.Random(7)
+    rows = [(None, "one two three", "x", 1), (0, "one two three", "x", 1), *[(i, "x " * rng.randint(1, 90), "x", 1) for i in range(1, 60)]]
+    key = lambda r: tuple((x is None, x) for x in r)
+    for ids, schema in ((lambda i: i, SCHEMA), (lambda i: None if i is None else f"id{i}", SCHEMA.replace("bigint", "string"))):
+        own = [(ids(r[0]), *r[1:]) for r in rows]
+        one, two = (sorted(map(tuple, P.best_fit_packing(spark.createDataFrame(r, schema), capacity=128).collect()), key=key) for r in (own, own[::-1]))
+        assert one == two
+
+
+def test_exchange_of_real_gaps(spark):
+    """Pieces of 6 of 10 tokens in one part and of 4 in others: no part meets its bound until they are dealt together."""
+    vocabulary = ["alpha"] * 400
+    docs = spark.createDataFrame([(i, " ".join(vocabulary[: 61 if i % 2 else 39]), "x", 1) for i in range(400)], SCHEMA)
+    got = P.best_fit_packing(docs, capacity=100, partition_pieces=10).collect()
+    rounds = {r.sequence.split("-")[0] for r in got}
+    alone = P.best_fit_packing(docs, capacity=100, partition_pieces=10, rounds=0).select("sequence").distinct().count()
+    used = {}
+    for r in got:
+        used[r.sequence] = used.get(r.sequence, 0) + r["size"]
+    assert max(used.values()) <= 100 and sum(used.values()) == sum(61 if i % 2 else 39 for i in range(400))
+    assert len(used) < alone and any(x.startswith("r") for x in rounds), (len(used), alone, rounds)
+
+
+def test_bounds_of_a_histogram():
+    """Of any number of items, and with whole numbers beyond 64 bits."""
+    count = np.zeros(2049, np.int64)
+    for n in (9_999_999, 10_000_000, 10**15):
+        count[1100] = n
+        assert P.lower_bound_of_histogram(count, 2048) == n
