@@ -9,9 +9,12 @@ suffixes that share at least ``LENGTH`` words with their neighbour.
 To spread this over a cluster, occurrences are brought together by content. Of every ``LENGTH`` consecutive words, the run of
 ``ANCHOR`` words with the least hash is an anchor (winnowing), so a passage that occurs twice has the same anchors at the same
 places. Only anchors that occur twice matter; around each occurrence the words that a passage of ``LENGTH`` could reach are cut
-out, the cuttings of an anchor meet in one partition, and the transform is built over them. Words are compared by 32 bits of
-their hashes, anchors by 64. A group of more than ``GROUP`` symbols is searched by hashes of its runs of ``LENGTH`` words
-instead, with the same result, so that a partition's memory is bounded by its distinct passages.
+out, and the cuttings of an anchor meet in one partition, sorted by content. Of equal cuttings all but the first are repeats as
+they stand; the transform is built over the different ones. An anchor with more than ``GROUP`` symbols of different cuttings is
+split: a passage around it has so many words to its left or so many to its right, so the cuttings meet again by the anchor
+lengthened to either side, step by step until it is short enough of the passage (at last it is the passage, and all cuttings are
+equal). So no group is held whole, and the search is the same at every size. Words are compared by 32 bits of their hashes, anchors
+by 64.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, cut, fresh, join_keys, pieces, release, small_batches, split, text_hash
+from .common import bytes_of, col, cut, fresh, join_keys, pieces, ranks, released, small_batches, split, text_hash, written
 from .kernels import U, Three, Two, mix, powers, ranges, sliding, span_hash, spans, word_hashes
 
 #: Words of a repeated passage at least, and of an anchor.
 LENGTH, ANCHOR = 50, 20
-#: Symbols over which one transform is built, and of a group that is searched by hashes instead.
-BATCH, GROUP = 250_000, 3_000_000
+#: Symbols over which one transform is built, and of an anchor's different cuttings before it is lengthened.
+BATCH, GROUP = 250_000, 1_000_000
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -125,14 +128,6 @@ def classes(segments: list[np.ndarray], length: int = LENGTH) -> Three:
     return own[on], seg[on], place[on]
 
 
-def classes_by_hash(segments: list[np.ndarray], length: int = LENGTH) -> Three:
-    """As ``classes``, by hashes of the runs."""
-    runs = [gram_hashes(mix(x.astype(np.uint64) + U(1)), length) if len(x) >= length else np.zeros(0, np.uint64) for x in segments]
-    counts = np.array([len(r) for r in runs])
-    _, own = np.unique(np.concatenate(runs), return_inverse=True)
-    return own, np.repeat(np.arange(len(runs)), counts), ranges(np.zeros(len(runs), np.int64), counts)
-
-
 def _edges(*sorted_: np.ndarray) -> np.ndarray:
     """Where a new combination of values begins."""
     new = np.zeros(len(sorted_[0]), bool)
@@ -142,61 +137,52 @@ def _edges(*sorted_: np.ndarray) -> np.ndarray:
     return new
 
 
-def _marks(anchor, content, doc, word, sizes, texts, length, most):
+def _marks(anchor: np.ndarray, doc: np.ndarray, word: np.ndarray, segments: list[np.ndarray], length: int) -> list[np.ndarray]:
     """(document, from, to, first's document, from) for every stretch of runs that aren't the first of their class.
 
-    The arrays describe cuttings: anchor hash, content hash, rank of the document, first word, number of words; texts gives the
-    words of some of them. Cuttings of an anchor that are all the same, each in another document, need no search.
+    The arrays describe cuttings: anchor, rank of the document, first word; segments are their words.
     """
-    out = []
-    by = np.lexsort((word, doc, anchor))
-    anchor, content, doc, word, sizes, rows = anchor[by], content[by], doc[by], word[by], sizes[by], by
-    head = _edges(anchor)
-    group = np.cumsum(head) - 1
-    first = np.flatnonzero(head)
-    mixed = np.zeros(len(first), bool)
-    mixed[group[content != content[first][group]]] = True
-    mixed[group[~_edges(anchor, doc)]] = True
-    plain = ~mixed[group] & ~head & (sizes >= length)
-    f = first[group[plain]]
-    out.append((doc[plain], word[plain], word[plain] + sizes[plain], doc[f], word[f]))
-    hard = np.flatnonzero(mixed[group])
-    if len(hard):
-        # Equal cuttings of an anchor are searched once and stand for all their places.
-        hard = hard[np.lexsort((content[hard], group[hard]))]
-        lead = _edges(group[hard], content[hard])
-        begin = np.flatnonzero(lead)
-        count = np.diff(np.append(begin, len(hard)))
-        segments = texts(rows[hard[begin]])
-        cls, seg, place = (classes_by_hash if sum(map(len, segments)) > most else classes)(segments, length)
-        place, cls = np.repeat(place, count[seg]), np.repeat(cls, count[seg])
-        at = hard[ranges(begin[seg], count[seg])]
-        d, w = doc[at], word[at] + place
-        by = np.lexsort((w, d, cls))
-        cls, d, w = cls[by], d[by], w[by]
-        head = _edges(cls)
-        f = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = (d != d[f]) | (w != w[f])
-        d, w, fd, fw = d[later], w[later], d[f][later], w[f][later]
-        if len(d):
-            by = np.lexsort((w, w - fw, fd, d))
-            d, w, fd, fw = d[by], w[by], fd[by], fw[by]
-            start = _edges(d, fd, w - fw)
-            start[1:] |= w[1:] > w[:-1] + 1
-            s = np.flatnonzero(start)
-            e = np.append(s[1:], len(d)) - 1
-            out.append((d[s], w[s], w[e] + length, fd[s], fw[s]))
-    return [np.concatenate(x) for x in zip(*out)]
-
-
-def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    cls, seg, place = classes(segments, length)
+    d, w = doc[seg], word[seg] + place
+    by = np.lexsort((w, d, cls))
+    cls, d, w = cls[by], d[by], w[by]
+    head = _edges(cls)
+    f = np.flatnonzero(head)[np.cumsum(head) - 1]
+    later = (d != d[f]) | (w != w[f])
+    d, w, fd, fw = d[later], w[later], d[f][later], w[f][later]
+    if not len(d):
+        return [d, w, w, fd, fw]
+    by = np.lexsort((w, w - fw, fd, d))
+    d, w, fd, fw = d[by], w[by], fd[by], fw[by]
+    start = _edges(d, fd, w - fw)
+    start[1:] |= w[1:] > w[:-1] + 1
+    s = np.flatnonzero(start)
+    e = np.append(s[1:], len(d)) - 1
+    return [d[s], w[s], w[e] + length, fd[s], fw[s]]
+
+
+def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit words of binary values and the n + 1 offsets of the values in them."""
+    until = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4).astype(np.int64)
+    data = array.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[until[0] : until[-1]].copy().view(np.uint32) if data is not None else np.zeros(0, np.uint32)
+    return flat, (until - until[0]) // 4
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum(sizes * 4)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """doc_id, h, first_word, end_word, from_id, from_h, from_word: stretches of words that an earlier place has too.
 
     A stretch holds the words [first_word, end_word) of the text, of at least ``length`` words, all of whose runs of ``length``
-    words occur before (stretches may be listed more than once): in a document with a smaller doc_id (a null one is the largest, h decides between equals) or earlier in
-    the same. from_id and from_word are where the first run occurs first. Words are parted by ASCII white space and compared as
-    they stand. Stretches of a document may overlap. Null, empty and shorter texts have none, but what other rows repeat of a
-    document counts, whatever its other columns hold; rows with equal doc_id and text are one document.
+    words occur before (stretches may be listed more than once): in a document with a smaller doc_id (a null one is the largest, h
+    decides between equals) or earlier in the same. from_id and from_word are such a place. Words are parted by ASCII white space
+    and compared as they stand, whole texts of any length. Stretches of a document may overlap. Null, empty and shorter texts have
+    none, but what other rows repeat of a document counts, whatever its other columns hold; rows with equal doc_id and text are one
+    document. An empty table gives no rows. ``group`` only bounds memory: the result doesn't depend on it.
     """
     small_batches(docs.sparkSession)
     size = min(ANCHOR, length)
@@ -204,6 +190,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t"))
 
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
@@ -213,11 +200,11 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 doc = np.searchsorted(words, where, "right") - 1
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array((where - words[doc]).astype(np.int32))], ["a", "d", "h", "w"])
-        release()
 
     found = rows.mapInArrow(find, f"a bigint, d {kind}, h bigint, w int")
     by_anchor = found.repartition("a").sortWithinPartitions("a")
 
+    @released
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose anchor occurs again; the last group of a batch waits for the next."""
         rest = None
@@ -245,6 +232,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     near, _ = split(rows, "h", hits.select("hh"))
     cuts = join_keys(near, hits, [("h", "hh"), ("d", "hd")]).groupBy("d", "h").agg(F.first("t").alias("t"), F.first("hits").alias("hits"))
 
+    @released
     def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
@@ -260,71 +248,140 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 hi = np.minimum(w + size + reach, np.diff(words)[doc])
                 flat32 = w32[ranges(words[doc] + lo, hi - lo)]
                 content = span_hash(w32.astype(np.uint64) + U(1), words[doc] + lo, words[doc] + hi)
-                raw_offs = np.concatenate([[0], np.cumsum((hi - lo) * 4)])
-                raw = pa.Array.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(raw_offs.astype(np.int64)), pa.py_buffer(flat32)]).cast(pa.binary())
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([a, part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), raw, pa.array(content.view(np.int64))], ["a", "d", "h", "w", "s", "c"])
-        release()
-
-    grouped = cuts.mapInArrow(clip, f"a bigint, d {kind}, h bigint, w int, s binary, c bigint").repartition("a").sortWithinPartitions("a")
-    out = f"doc_id {kind}, h bigint, first_word int, end_word int, from_id {kind}, from_h bigint, from_word int"
+                take, none = pa.array(doc), pa.array(np.zeros(len(w), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [a, part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array((w - lo).astype(np.int32)), none, none, _binary(flat32, hi - lo), pa.array(content.view(np.int64))], names
+                )
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows < 2:
+        """The stretches of the groups; a cutting that is alone needs no search."""
+        a = table.column("a").to_numpy()
+        edge = _edges(a)
+        many = np.diff(np.append(np.flatnonzero(edge), len(a)))[np.cumsum(edge) - 1] > 1
+        table = table.filter(pa.array(many)).combine_chunks()
+        if not table.num_rows:
             return
-        d, h = table.column("d"), table.column("h").to_numpy()
-        none, ids = d.is_null().to_numpy(), d.fill_null(0).to_numpy()
-        by = np.lexsort((h, ids, none))
-        new = _edges(none[by], ids[by], h[by])
+        d, h = table.column("d").combine_chunks(), table.column("h").combine_chunks()
+        ids, hashes = ranks(d), h.to_numpy()
+        by = np.lexsort((hashes, ids))
+        new = _edges(ids[by], hashes[by])
         doc = np.empty(len(by), np.int64)
         doc[by] = np.cumsum(new) - 1
         name = by[new]
-        s = table.column("s").combine_chunks()
-        until = np.frombuffer(s.buffers()[1], np.int32, len(s) + 1, s.offset * 4)
-        data = s.buffers()[2]
-        sizes = np.diff(until) // 4
-
-        def texts(rows: np.ndarray) -> list[np.ndarray]:
-            return [np.frombuffer(data, np.uint32, n, at) for at, n in zip(until[rows].tolist(), sizes[rows].tolist())]
-
-        own, first, end, from_, word = _marks(table.column("a").to_numpy(), table.column("c").to_numpy(), doc, table.column("w").to_numpy().astype(np.int64), sizes, texts, length, GROUP)
-        own, from_ = pa.array(name[own]), pa.array(name[from_])
-        d, h = d.combine_chunks(), table.column("h").combine_chunks()
-        yield pa.RecordBatch.from_arrays(
-            [d.take(own), h.take(own), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), d.take(from_), h.take(from_), pa.array(word.astype(np.int32))],
-            ["doc_id", "h", "first_word", "end_word", "from_id", "from_h", "from_word"],
-        )
-
+        flat, until = _words(table.column("s").combine_chunks())
+        own, first, end, from_, word = _marks(a[many], doc, table.column("w").to_numpy().astype(np.int64), [flat[i:j] for i, j in zip(until[:-1].tolist(), until[1:].tolist())], length)
+        yield stretches(d, h, name[own], first, end, name[from_], word)
+
+    def stretches(d, h, own, first, end, from_, word) -> pa.RecordBatch:
+        own, from_ = pa.array(own), pa.array(from_)
+        n = len(own)
+        found = [d.take(own), h.take(own), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), d.take(from_), h.take(from_), pa.array(word.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*found, pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 3, pa.nulls(n, pa.binary())], both)
+
+    def left_over(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Cuttings of an anchor that has too many different ones, to be met again by longer anchors."""
+        for b in rows.combine_chunks().to_batches():
+            none = pa.nulls(b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("h"), b.column("w"), none, pa.nulls(b.num_rows, b.schema.field("d").type), pa.nulls(b.num_rows, pa.int64()), none, b.column("a"), b.column("x"), b.column("l"), b.column("r"), b.column("s")], both)
+
+    @released
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        need = BATCH
+        waiting: list[pa.Table] = []  # different cuttings, whose anchors aren't complete or that wait for more
+        symbols, hot = 0, None
+        last = None  # the last row of the slice before
+        lead = None  # the first of the cuttings that equal it, as one row
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # slices of about BATCH symbols, so that no table grows large
-                part = batch.slice(at, max(1, BATCH // (2 * length)))
-                at += part.num_rows
-                waiting.append(part)
-                if sum(b.num_rows for b in waiting) * 2 * length < need:
+            for at in range(0, batch.num_rows, step):
+                table = pa.Table.from_batches([batch.slice(at, step)])
+                if last is not None:
+                    table = pa.concat_tables([lead, last, table])
+                table = table.combine_chunks()
+                skip = 2 if last is not None else 0
+                a, c = table.column("a").to_numpy(), table.column("c").to_numpy()
+                d, h, w = table.column("d").combine_chunks(), table.column("h").combine_chunks(), table.column("w").to_numpy().astype(np.int64)
+                _, until = _words(table.column("s").combine_chunks())
+                sizes = np.diff(until)
+                new = _edges(a, c)
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                # A place comes again where its cutting holds the anchor twice; such rows are searched.
+                head = (new | ~_edges(a, c, ranks(d), h.to_numpy(), w)) & (np.arange(len(a)) >= skip)
+                follow = np.flatnonzero(~new & ~head & (np.arange(len(a)) >= skip) & (sizes >= length))
+                if len(follow):
+                    yield stretches(d, h, follow, w[follow], w[follow] + sizes[follow], first[follow], w[first[follow]])
+                lead, last = table.slice(int(first[-1]), 1), table.slice(len(a) - 1, 1)
+                heads, head_sizes = table.filter(pa.array(head)), sizes[head]
+                if hot is not None:
+                    mine = int(np.searchsorted(heads.column("a").to_numpy(), hot, "right"))
+                    if mine:
+                        yield from left_over(heads.slice(0, mine))
+                        heads, head_sizes = heads.slice(mine), head_sizes[mine:]
+                    if a[-1] != hot:
+                        hot = None
+                if heads.num_rows:
+                    waiting.append(heads)
+                    symbols += int(head_sizes.sum())
+                if symbols < enough or not waiting:
                     continue
-                table = pa.Table.from_batches(waiting).combine_chunks()
-                a = table.column("a").to_numpy()
-                last = int(np.searchsorted(a, a[-1])) if a[0] != a[-1] else 0
-                if last:
-                    yield from solve(table.slice(0, last))
-                    waiting, need = table.slice(last).to_batches(), BATCH
-                else:
-                    waiting, need = table.to_batches(), 2 * need
+                held = pa.concat_tables(waiting).combine_chunks()
+                ha = held.column("a").to_numpy()
+                done = int(np.searchsorted(ha, a[-1]))
+                if done:
+                    yield from solve(held.slice(0, done))
+                    held = held.slice(done).combine_chunks()
+                symbols = len(_words(held.column("s").combine_chunks())[0]) if held.num_rows else 0
+                if symbols > group:
+                    hot = int(a[-1])
+                    yield from left_over(held)
+                    held, symbols = held.slice(0, 0), 0
+                waiting = [held] if held.num_rows else []
         if waiting:
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            yield from solve(table)
-        release()
+            yield from solve(pa.concat_tables(waiting).combine_chunks())
 
-    return grouped.mapInArrow(search, out)
+    @released
+    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, left, right = (batch.column(k).to_numpy().astype(np.int64) for k in ("x", "l", "r"))
+            flat, until = _words(batch.column("s"))
+            value, n = flat.astype(np.uint64) + U(1), np.diff(until)
+            free = reach - left - right
+            more = (free + 1) // 2
+            for l, r in ((left + more, right), (left, right + free - more + 1)):
+                on = np.flatnonzero((free > 0) & (x >= l) & (n - x - size >= r))
+                lo = np.maximum(x - (reach - r), 0)
+                hi = np.minimum(n, x + size + reach - l)
+                on = on[(hi - lo)[on] >= length]
+                key = mix(span_hash(value, (until[:-1] + x - l)[on], (until[:-1] + x + size + r)[on]) + (l * 4096 + r + 1)[on].astype(np.uint64) * U(0x9E3779B97F4A7C15))
+                content = span_hash(value, until[:-1][on] + lo[on], until[:-1][on] + hi[on])
+                take = pa.array(on)
+                s = _binary(flat[ranges(until[:-1][on] + lo[on], (hi - lo)[on])], (hi - lo)[on])
+                ints = [pa.array(v.astype(np.int32)) for v in (batch.column("w").to_numpy()[on] + lo[on], (x - lo)[on], l[on], r[on])]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("d").take(take), batch.column("h").take(take), *ints, s, pa.array(content.view(np.int64))], names)
+
+    enough = min(BATCH, group)
+    step = max(1, enough // (2 * length))
+    names = ["a", "d", "h", "w", "x", "l", "r", "s", "c"]
+    both = ["doc_id", "h", "first_word", "end_word", "from_id", "from_h", "from_word", "a", "x", "l", "r", "s"]
+    cutting = f"a bigint, d {kind}, h bigint, w int, x int, l int, r int, s binary, c bigint"
+    out = f"doc_id {kind}, h bigint, first_word int, end_word int, from_id {kind}, from_h bigint, from_word int, a bigint, x int, l int, r int, s binary"
+    cuttings, done = cuts.mapInArrow(clip, cutting), None
+    for _ in range(reach.bit_length() + 1):  # each step halves the words that are free
+        grouped = cuttings.repartition("a").sortWithinPartitions("a", "c", F.col("d").isNull(), "d", "h", "w")
+        solved = written(grouped.mapInArrow(search, out))
+        found = solved.where("s is null").select(both[:7])
+        done = found if done is None else done.unionByName(found)
+        rest = solved.where("s is not null")
+        if rest.isEmpty():
+            break
+        cuttings = rest.select("a", F.col("doc_id").alias("d"), "h", F.col("first_word").alias("w"), "x", "l", "r", "s").mapInArrow(lengthen, cutting)
+    return done
 
 
 def merge_stretches(found: DataFrame) -> DataFrame:
     """doc_id, h, first_word, end_word, n_words, from_ids: the union of each document's stretches, as disjoint spans."""
 
+    @released
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "h", "first_word", "end_word", "n_words", "from_ids")}
@@ -348,9 +405,9 @@ def merge_stretches(found: DataFrame) -> DataFrame:
     return lists.mapInArrow(union, f"doc_id {kind}, h bigint, first_word int, end_word int, n_words int, from_ids array<{kind}>")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """The spans that ``suffix_dedup`` deletes: doc_id, h, first_word, end_word, n_words, from_ids (see ``find_repeats``)."""
-    return merge_stretches(find_repeats(docs, text, doc_id, length))
+    return merge_stretches(find_repeats(docs, text, doc_id, length, group))
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, n_chars: str = "n_chars") -> DataFrame:
@@ -358,7 +415,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
     A deleted passage goes with the white space after it. A document of which nothing but white space is left goes; others keep
     all their columns, n_chars (if there is such a column) being counted again where words were deleted. Documents without
-    repeats, null and empty texts among them, stay untouched.
+    repeats, null and empty texts among them, stay untouched. Of rows with equal doc_id and text each is treated alike; an empty
+    table gives an empty table.
     """
     spans_ = cut(repeated_spans(docs, text, doc_id, length).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("s")))
     h, sd, sh, s = fresh(docs, "h", "sd", "sh", "s")
@@ -374,7 +432,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     if n_chars in docs.columns:
         less = less.withColumn(n_chars, F.length(col(text)).cast(docs.schema[n_chars].dataType))
     out = untouched.unionByName(less)
-    return out if far is None else far.drop(h).unionByName(out)
+    return far.drop(h).unionByName(out)
 
 
 def delete_words(text: str, spans_: list[tuple[int, int]]) -> str:
