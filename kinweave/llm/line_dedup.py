@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-A line is rare if at least two and at most ``RARE_SHARE`` of all different documents have it. Documents that share a rare line, or
+A line is rare if at least two and at most ``RARE`` different documents have it, however many there are in all. Documents that share a rare line, or
 ``RUN`` lines in a row however frequent, overlap: each later document is aligned with the earlier ones by patience diff: equal ends
 are matched, then lines that occur once in either, in the longest order that both have, then the gaps likewise. A run of matched
 lines that are adjacent in both is a common block; if it has a rare line or ``RUN`` lines that aren't blank, it is deleted from the
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, col, cut, fresh, join_keys, pieces, small_batches, split, text_hash
+from .common import bytes_of, col, cut, fresh, join_keys, pieces, released, small_batches, split, text_hash
 from .kernels import BYTE_HASH, SPACE, Two, span_hash
 
-#: A line is rare in at most this share of the documents, or this many if that is more.
-RARE_SHARE, RARE_LEAST = 0.01, 20
+#: Different documents that have a rare line at most.
+RARE = 20
 #: So many lines in a row, blank ones not counted, are an overlap even if none of them is rare.
 RUN = 3
 _MASK = (1 << 63) - 1
@@ -147,12 +147,14 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
     Only documents that lose lines are listed. A document comes before another if its doc_id is smaller (a null one is the
     largest, the hash h of the text decides between equals); rows with equal doc_id and text are one document. Lines are
-    compared without white space at their ends; blank lines align but aren't rare. Null and empty texts have no lines.
+    compared without white space at their ends; blank lines align but aren't rare. Null and empty texts have no lines, an empty table
+    gives no rows, and very long texts are compared whole like others.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(col(doc_id).alias("d"), text_hash(text).alias("h"), col(text).alias("t"))
 
+    @released
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
@@ -165,8 +167,7 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     struct = lists.schema["key"].dataType.simpleString()
     firsts = cut(lists.groupBy("list").agg(F.min("key").alias("key"), F.first("lines").alias("lines")))
     lines = firsts.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    most = F.greatest(F.lit(RARE_LEAST), F.floor(F.lit(RARE_SHARE) * F.lit(lists.count())))
-    known = lines.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("line", (F.col("df") <= most).alias("is_rare"))
+    known = lines.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("line", (F.col("df") <= RARE).alias("is_rare"))
     marks = lines.join(known, "line").groupBy("key").agg(F.collect_set(F.when(F.col("is_rare"), F.col("line"))).alias("rare"), F.collect_set(F.when(~F.col("is_rare"), F.col("line"))).alias("common"))
     shared = cut(firsts.join(marks, "key").select("key", "lines", "rare", "common"))
     # Copies of a list: all lines are one block, which the first deletes.
@@ -176,6 +177,7 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     overlaps = (F.size(F.array_except("lines", F.coalesce("common", none))) > F.when(F.array_contains("lines", 0), 1).otherwise(0)) | (F.size(F.filter("lines", lambda x: x != 0)) >= RUN)
     copies = copies.where(overlaps).select("key", "first", F.sequence(F.lit(0), F.size("lines") - 1).alias("lines"))
 
+    @released
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The keys of the lines that aren't gone."""
         for batch in batches:
@@ -187,6 +189,7 @@ def deletions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
                 out.extend(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(out, pa.int64())], ["key", "k"])
 
+    @released
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: list[int] = []
         rare_: set[int] = set()
@@ -249,4 +252,4 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_ch
         changed = changed.withColumn(n_chars, F.length(col(text)).cast(docs.schema[n_chars].dataType))
     out = joined.where(F.col(g).isNull()).drop(g)
     out = out.unionByName(changed)
-    return out if far is None else far.drop(h).unionByName(out)
+    return far.drop(h).unionByName(out)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from kinweave.llm import line_dedup as L
 from kinweave.llm.common import text_hash
@@ -20,27 +21,58 @@ def corpus(seed=2):
     return rows + [(80, None), (81, ""), (82, "\n\n"), (83, rows[4][1]), (None, rows[9][1]), (4, rows[4][1]), (84, rows[20][1] + "\n"), (85, rows[21][1] + "\nnew")]
 
 
+def matched(a, b):
+    """Patience diff by its definition: equal ends, then the longest increasing run of lines that occur once in either, then the gaps."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in matched(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*matched(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    once = [(a.index(x), j) for j, x in enumerate(b) if x and a.count(x) == b.count(x) == 1]
+    best = {}  # longest chain that ends with each pair, by plain dynamic programming
+    for i, j in sorted(once):
+        best[i, j] = max((best[p] for p in best if p[0] < i and p[1] < j), key=len, default=[]) + [(i, j)]
+    if not best:
+        return []
+    size = max(map(len, best.values()))
+    chains = [c for c in best.values() if len(c) == size]
+    chain = min(chains, key=lambda c: [j for _, j in reversed(c)])  # of equals, the one that patience sorting leaves: smallest ends
+    out, at = [], (0, 0)
+    for i, j in [*chain, (len(a), len(b))]:
+        out += [(at[0] + x, at[1] + y) for x, y in matched(a[at[0] : i], b[at[1] : j])]
+        if i < len(a):
+            out.append((i, j))
+        at = (i + 1, j + 1)
+    return out
+
+
+def common_blocks(a, b, rare):
+    pairs, gone = set(matched(a, b)), set()
+    for i, j in pairs:
+        if (i - 1, j - 1) in pairs:
+            continue
+        block = [j]
+        while (i + len(block), j + len(block)) in pairs:
+            block.append(j + len(block))
+        if any(b[k] in rare for k in block) or sum(b[k] != "" for k in block) >= L.RUN:
+            gone.update(block)
+    return gone
+
+
 def brute(rows, hashes):
+    """Deletions over all pairs of documents."""
     key = lambda i, t: (i is None, i or 0, hashes[t])
     docs = {key(i, t): [x.strip() for x in (t[:-1] if t.endswith("\n") else t).split("\n")] for i, t in rows if t}
-    n = sum(1 for i, t in rows if t)
-    df, holders = {}, {}
-    for i, t in rows:
-        if t:
-            for x in set(docs[key(i, t)]) - {""}:
-                df[x] = df.get(x, 0) + 1
-                holders.setdefault(x, set()).add(key(i, t))
-    rare = {x for x in df if len(holders[x]) > 1 and df[x] <= max(L.RARE_LEAST, int(L.RARE_SHARE * n))}
-    number = {x: i + 1 for i, x in enumerate(sorted(df))} | {"": 0}
+    lists = {tuple(d) for d in docs.values()}
+    df = Counter(x for d in lists for x in set(d) - {""})
+    rare = {x for x, n in df.items() if n <= L.RARE}
     out = {}
-    for k, lines in docs.items():
-        firsts = {min(holders[x]) for x in lines if x in rare} - {k}
+    for k, b in docs.items():
         gone = set()
-        b = [number[x] for x in lines]
-        mine = {number[x] for x in lines if x in rare and min(holders[x]) != k}
-        for f in firsts:
-            if f < k:
-                gone |= L.blocks(L.patience([number[x] for x in docs[f]], b), b, mine)
+        for f, a in docs.items():
+            if f < k and set(a) & set(b):
+                gone |= set(range(len(b))) if a == b and (set(b) & rare or sum(x != "" for x in b) >= L.RUN) else common_blocks(a, b, rare)
         if gone:
             out[k] = sorted(gone)
     return out
@@ -98,24 +130,14 @@ def test_deletions_are_those_of_all_pairs(spark):
         for _ in range(rng.randint(0, 3)):
             lines.insert(rng.randint(0, len(lines)), rng.choice(["", "common", f"own {n}"]))
         rows.append((n, "\n".join(["start", *lines])))
-    docs = {n: (t[:-1] if t.endswith("\n") else t).split("\n") for n, t in rows}
-    number = {x: i + 1 for i, x in enumerate(sorted({x for d in docs.values() for x in d} - {""}))} | {"": 0}
-    lists = {tuple(d) for d in docs.values()}
-    df = {x: sum(x in d for d in lists) for x in number}
-    rare = {number[x] for x in df if x and df[x] <= L.RARE_LEAST}
-    want = {}
-    for k in docs:
-        b, gone = [number[x] for x in docs[k]], set()
-        for f in range(k):
-            gone |= L.blocks(L.patience([number[x] for x in docs[f]], b), b, rare)
-        if gone:
-            want[k] = sorted(gone)
-    got = {r.doc_id: list(r.lines) for r in L.deletions(spark.createDataFrame([(i, t, -1, "x") for i, t in rows], SCHEMA)).collect()}
+    docs = spark.createDataFrame([(i, t, -1, "x") for i, t in rows], SCHEMA)
+    want = brute(rows, {t: 0 for _, t in rows})
+    got = {(False, r.doc_id, 0): list(r.lines) for r in L.deletions(docs).collect()}
     assert got == want and len(want) > 100
 
 
 def test_large_groups_of_copies_go(spark):
-    """More than RARE_LEAST copies and near copies; single boilerplate lines stay."""
+    """More than RARE copies and near copies; single boilerplate lines stay."""
     copy = "\n".join(f"c {i}" for i in range(5))
     near = [f"n 0\nn 1\nn 2\nedit {i}\nn 3\nn 4\nn 5" for i in range(30)]
     short = ["All rights reserved\nown " + str(i) for i in range(30)] + ["All rights reserved"] * 2
