@@ -3,8 +3,10 @@
 The distinct pre-tokens of all texts at hand are laid out once as rows of byte symbols. An inverted index maps each token pair
 to the places where it stands; the merges are then replayed in rank order over the whole collection, each visiting only the
 places that the index has for its pair, and only the pairs with the merged token's two neighbours enter the index anew. A merge
-of a later rank never precedes its parts', so one pass over the ranks gives what the usual loop over each word gives. A task
-replays over up to ``CORPUS_BYTES`` of text at once; every distinct pre-token in it is merged once, however often it occurs.
+of a later rank never precedes its parts', so one pass over the ranks gives what the usual loop over each word gives. The corpus
+that is replayed together is a task's part of the table: every distinct pre-token in it is merged once, however often it occurs.
+It is read in steps of ``CORPUS_BYTES``, each of which replays the pre-tokens that are new; what is known is given up and learnt
+again only beyond ``KNOWN_BYTES`` of distinct pieces, which bounds memory and doesn't change the ids.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _WIDE_SPACE, PATTERN
-from .common import bytes_of, col, pieces, small_batches
+from .common import bytes_of, col, pieces, released, small_batches
 from .kernels import BYTE_HASH, SPACE, Two, ranges, span_hash
 
 DEFAULT_MERGES = "/opt/tokenizers/byte_bpe_50k.json"
-CORPUS_BYTES = 32 << 20
+#: Bytes of text that are read before their new pre-tokens are replayed, and bytes of distinct pieces that are kept at most.
+CORPUS_BYTES, KNOWN_BYTES = 8 << 20, 24 << 20
 _WORDS = regex.compile(PATTERN)
 _loaded: dict[str, "Merges"] = {}
 
@@ -152,22 +155,44 @@ def replay(table: Merges, words: list[bytes]) -> Two:
     return symbol[alive], left[offs]
 
 
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.values, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.values):
+            self.values = np.concatenate([self.values[: self.n], np.zeros(self.n + 2 * len(more), self.values.dtype)])
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Corpus:
-    """Texts that are encoded together."""
+    """Texts that are encoded together: the ids of their distinct pieces, and the batches that wait for them."""
 
-    def __init__(self, table: Merges):
-        self.table = table
-        self.known: dict[int, int] = {}  # piece hash -> piece
-        self.word: dict[str, int] = {}
-        self.words: list[list[int]] = []  # of each piece
+    def __init__(self, table: Merges, most: int = KNOWN_BYTES):
+        self.table, self.most = table, most
         self.parts: list[tuple] = []
         self.size = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}  # piece hash -> piece
+        self.word: dict[str, int] = {}  # pre-token -> number
+        self.ids, self.until = Pool(np.int32), Pool(np.int64)  # of the pre-tokens
+        self.piece_ids, self.piece_until = Pool(np.int32), Pool(np.int64)
+        self.until.add(np.zeros(1, np.int64))
+        self.piece_until.add(np.zeros(1, np.int64))
+        self.new_words: list[str] = []
+        self.new_pieces: list[list[int]] = []
+        self.bytes = 0
 
     def add(self, batch: pa.RecordBatch, column: int) -> None:
         buf, offs = bytes_of(batch.column(column))
         self.size += len(buf)
         if not len(buf):
-            self.parts.append((batch, buf, offs, np.zeros(0, np.int64), np.zeros(len(offs), np.int64)))
+            self.parts.append((batch, buf, offs, np.zeros(0, np.int32), np.zeros(len(offs), np.int64)))
             return
         raw = buf.tobytes()
         space = SPACE[buf]
@@ -179,26 +204,44 @@ class Corpus:
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(buf))
         h, first, back = np.unique(span_hash(BYTE_HASH[buf], starts, ends), return_index=True, return_inverse=True)
-        piece = np.empty(len(h), np.int64)
+        piece = np.empty(len(h), np.int32)
         for i, (x, f) in enumerate(zip(h.tolist(), first.tolist())):
             p = self.known.get(x)
             if p is None:
-                p = self.known[x] = len(self.words)
-                self.words.append([self.word.setdefault(w, len(self.word)) for w in _WORDS.findall(raw[starts[f] : ends[f]].decode())])
+                p = self.known[x] = len(self.known)
+                self.bytes += int(ends[f] - starts[f])
+                words = []
+                for w in _WORDS.findall(raw[starts[f] : ends[f]].decode()):
+                    n = self.word.get(w)
+                    if n is None:
+                        n = self.word[w] = len(self.word)
+                        self.new_words.append(w)
+                    words.append(n)
+                self.new_pieces.append(words)
             piece[i] = p
         self.parts.append((batch, buf, offs, piece[back], np.searchsorted(starts, offs)))
 
+    def learn(self) -> None:
+        """Replay the merges over the pre-tokens that are new, and put the new pieces together."""
+        ids, until = replay(self.table, [w.encode() for w in self.new_words])
+        self.until.add(until[1:] + self.ids.n)
+        self.ids.add(ids)
+        counts = np.fromiter(map(len, self.new_pieces), np.int64, len(self.new_pieces))
+        flat = np.fromiter((w for ws in self.new_pieces for w in ws), np.int64, int(counts.sum()))
+        start, size = self.until.values[flat], self.until.values[flat + 1] - self.until.values[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
+        self.piece_until.add(ends + self.piece_ids.n)
+        self.piece_ids.add(self.ids.values[ranges(start, size)])
+        self.new_words, self.new_pieces = [], []
+
     def encode(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        """Each batch with its ids, its texts' offsets in them, and whether the ids give back the texts' bytes."""
-        ids, until = replay(self.table, [w.encode() for w in self.word])
-        counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        flat = np.fromiter((w for ws in self.words for w in ws), np.int64, int(counts.sum()))
-        piece_ids = ids[ranges(until[flat], until[flat + 1] - until[flat])]
-        sizes = np.concatenate([[0], np.cumsum(until[flat + 1] - until[flat])])
-        piece_until = sizes[np.concatenate([[0], np.cumsum(counts)])]
-        for batch, buf, offs, piece, texts in self.parts:
-            n = piece_until[piece + 1] - piece_until[piece]
-            own = piece_ids[ranges(piece_until[piece], n)]
+        """Each waiting batch with its ids, its texts' offsets in them, and whether the ids give back the texts' bytes."""
+        self.learn()
+        parts, self.parts, self.size = self.parts, [], 0
+        for batch, buf, offs, piece, texts in parts:
+            start = self.piece_until.values[piece]
+            n = self.piece_until.values[piece + 1] - start
+            own = self.piece_ids.values[ranges(start, n)]
             at = np.concatenate([[0], np.cumsum(n)])[texts]
             back = self.table.decode(own)
             ends = np.concatenate([[0], np.cumsum(self.table.lengths[own])])[at]
@@ -208,13 +251,15 @@ class Corpus:
             else:
                 same = np.array([back[a:b].tobytes() == buf[c:d].tobytes() for a, b, c, d in zip(ends[:-1], ends[1:], offs[:-1], offs[1:])], bool)
             yield batch, own, at, same
+        if self.bytes > self.most:
+            self.forget()
 
 
-def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = DEFAULT_MERGES, corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = DEFAULT_MERGES, corpus_bytes: int = CORPUS_BYTES, known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """doc_id, ids (array of int), n_tokens, exact (whether the ids decode to the text's bytes) of each row; a map, no shuffle.
 
     Special tokens' strings are ordinary text. A null text gives nulls; an empty one no ids. Whole texts are encoded, repeated
-    rows and null doc_ids like others. The ids don't depend on which texts are encoded together.
+    rows and null doc_ids like others. The ids don't depend on which texts are encoded together. An empty table gives no rows.
     """
 
     def emit(corpus: Corpus) -> Iterator[pa.RecordBatch]:
@@ -223,14 +268,14 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(gone, False)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(at), pa.int64(), mask=gone), pa.array(same, pa.bool_(), mask=gone)], ["doc_id", "ids", "n_tokens", "exact"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus = Corpus(merges(vocabulary))
+        corpus = Corpus(merges(vocabulary), known_bytes)
         for batch in batches:
             for part in pieces(batch, "t"):
                 corpus.add(part, 1)
                 if corpus.size >= corpus_bytes:
                     yield from emit(corpus)
-                    corpus = Corpus(merges(vocabulary))
         yield from emit(corpus)
 
     small_batches(docs.sparkSession)

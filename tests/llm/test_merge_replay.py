@@ -40,9 +40,10 @@ def test_any_text(library, texts):
         assert M.merges().decode(np.array(ids, np.int64)).tobytes().decode() == t
 
 
-def test_rows(spark):
+@pytest.mark.parametrize("known", [0, M.KNOWN_BYTES])
+def test_rows(spark, known):
     rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(99, None, "x", 1), (None, "hello world", None, None), (1, "hello world", "x", 1)]
-    out = M.encode_documents(spark.createDataFrame(rows, SCHEMA), corpus_bytes=100)
+    out = M.encode_documents(spark.createDataFrame(rows, SCHEMA), corpus_bytes=100, known_bytes=known)
     got = out.select("doc_id", "ids", "n_tokens", "exact", M.decode(out.ids).alias("back")).collect()
     assert len(got) == len(rows)
     for r in got:
