@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh, small_batches
+from .common import col, cut, fresh, released, small_batches
 from .kernels import Two
 
 PROFILE = 300
@@ -140,9 +139,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
 
     Whole texts are used. A null text, an empty one and one without letters have no language: predicted, distance and margin are
     null and the row is rejected. A text with letters is rejected when its distance to every profile exceeds ``reject`` and it
-    has at least ``SHORT`` letters. Each row gives one row; null ids and labels stay null.
+    has at least ``SHORT`` letters. Each row gives one row; null ids and labels stay null. An empty table gives no rows.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.classify(t.as_py(), reject) for t in batch.column(2)]
@@ -158,11 +158,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
 
 
 def accept(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows that aren't rejected, with their columns."""
+    """The rows that aren't rejected (see ``identify``), with all their columns; a map without shuffle.
+
+    Null texts, empty ones and those without letters go; repeated rows and null ids are judged like others. An empty table gives
+    an empty table.
+    """
     small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
-        return pd.Series([not model.classify(t, reject)[3] for t in texts], dtype=bool)
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not model.classify(t.as_py(), reject)[3] for t in batch.column(at)], pa.bool_()))
 
-    return docs.where(keeps(col(text)))
+    return docs.mapInArrow(run, docs.schema)

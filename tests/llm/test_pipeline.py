@@ -6,6 +6,8 @@ import corpus_pipeline
 from kinweave.llm import language_id, near_dedup, packing, suffix_dedup
 from kinweave.llm.bpe import encoder
 
+from test_near_dedup import components, exact_similarities
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -51,28 +53,15 @@ def test_stages_against_plain_python(spark, tmp_path):
         first.setdefault(t, i)
     want = {i: t for t, i in first.items()}
     assert {r.doc_id: r.text for r in two.collect()} == want
-    # Near copies, against all pairs.
-    import numpy as np
-    import pyarrow as pa
-
-    ids = sorted(want)
-    sh, counts, until = near_dedup.shingles(pa.array([want[i] for i in ids]))
-    df = np.bincount((sh & np.uint64((1 << near_dedup.DF_BITS) - 1)).astype(int), minlength=1 << near_dedup.DF_BITS)
-    w = near_dedup.weights(sh, counts, np.log1p(int((np.diff(until) > 0).sum()) / np.maximum(df, 1)))
-    root = {i: i for i in ids}
-
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    for a in range(len(ids)):
-        for b in range(a):
-            sets = [(sh[until[k] : until[k + 1]], w[until[k] : until[k + 1]]) for k in (a, b)]
-            if near_dedup.similarity(*sets) >= near_dedup.THRESHOLD:
-                x, y = sorted((find(ids[a]), find(ids[b])))
-                root[y] = x
+    # Near copies, against all pairs, with exact document frequencies.
+    keys, similar = exact_similarities(list(want.items()))
+    assert all(abs(x - near_dedup.THRESHOLD) > 0.005 for x in similar.values())
+    roots = components(len(keys), [p for p, x in similar.items() if x >= near_dedup.THRESHOLD])
+    first = {keys[k][1]: keys[r][1] for k, r in enumerate(roots)}
+    n = len(want)
     three = run("near", two)
-    want = {i: t for i, t in want.items() if find(i) == i}
-    assert {r.doc_id: r.text for r in three.collect()} == want and len(want) < len(ids) - 5
+    want = {i: t for i, t in want.items() if first.get(i, i) == i}
+    assert {r.doc_id: r.text for r in three.collect()} == want and len(want) < n - 5
     # Repeated passages, word by word.
     four = run("repeats", three)
     seen, left = set(), {}
