@@ -22,23 +22,30 @@ ROWS, BANDS = 3, 37
 BLOCK = 4096
 
 
+def _run(rows: DataFrame) -> list[str]:
+    """The run's column, where a table has one: rows of different runs don't meet."""
+    return ["run_id"] if "run_id" in rows.columns else []
+
+
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], key: str) -> DataFrame:
     a, b = left.select(*on, F.col(key).alias("entity_id_a")), right.select(*on, F.col(key).alias("entity_id_b"))
-    return a.join(b, on).where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")
+    return a.join(b, on).where("entity_id_a < entity_id_b").select(*_run(left), "entity_id_a", "entity_id_b")
 
 
 def exact_name_pairs(entities: DataFrame, most: int = BUCKET_MOST) -> DataFrame:
     """Pairs of entities with equal type and normalised name; a bucket of more than ``most`` is left out whole."""
-    named = entities.where("normalized is not null and normalized <> ''").select("type", "normalized", "entity_id")
-    buckets = named.groupBy("type", "normalized").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).drop("n")
-    kept = named.join(buckets, ["type", "normalized"])
-    return _pairs(kept, kept, ["type", "normalized"], "entity_id")
+    on = [*_run(entities), "type", "normalized"]
+    named = entities.where("normalized is not null and normalized <> ''").select(*on, "entity_id")
+    buckets = named.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).drop("n")
+    kept = named.join(buckets, on)
+    return _pairs(kept, kept, on, "entity_id")
 
 
 def structured_id_pairs(entities: DataFrame, types: tuple[str, ...] = STRONG_TYPES) -> DataFrame:
     """Pairs of equal identifiers of the strong types, without a cap."""
-    named = entities.where(F.col("type").isin(*types) & (F.col("normalized") != "")).select("type", "normalized", "entity_id")
-    return _pairs(named, named, ["type", "normalized"], "entity_id")
+    on = [*_run(entities), "type", "normalized"]
+    named = entities.where(F.col("type").isin(*types) & (F.col("normalized") != "")).select(*on, "entity_id")
+    return _pairs(named, named, on, "entity_id")
 
 
 def cross_type_names(entities: DataFrame, types: tuple[str, ...] = STRONG_TYPES) -> DataFrame:
@@ -163,20 +170,23 @@ def union_candidates(sources: dict[str, DataFrame], entities: DataFrame | None =
     Pairs of an entity with itself and, if entities are given, of different types are left out.
     """
     every = None
+    run = ["run_id"] if all("run_id" in p.columns for p in sources.values()) else []
     for method, pairs in sources.items():
-        ordered = pairs.select(F.least("entity_id_a", "entity_id_b").alias("entity_id_a"), F.greatest("entity_id_a", "entity_id_b").alias("entity_id_b"), F.lit(method).alias("method"))
+        ordered = pairs.select(*run, F.least("entity_id_a", "entity_id_b").alias("entity_id_a"), F.greatest("entity_id_a", "entity_id_b").alias("entity_id_b"), F.lit(method).alias("method"))
         every = ordered if every is None else every.unionByName(ordered)
-    found = every.where("entity_id_a < entity_id_b").groupBy("entity_id_a", "entity_id_b").agg(F.array_sort(F.collect_set("method")).alias("blocking_methods"))
+    found = every.where("entity_id_a < entity_id_b").groupBy(*run, "entity_id_a", "entity_id_b").agg(F.array_sort(F.collect_set("method")).alias("blocking_methods"))
     if entities is not None:
-        types = entities.select("entity_id", "type")
-        found = found.join(types.toDF("entity_id_a", "type_a"), "entity_id_a", "left").join(types.toDF("entity_id_b", "type_b"), "entity_id_b", "left").where("type_a <=> type_b").drop("type_a", "type_b")
+        types = entities.select(*run, "entity_id", "type")
+        found = found.join(types.toDF(*run, "entity_id_a", "type_a"), [*run, "entity_id_a"], "left").join(types.toDF(*run, "entity_id_b", "type_b"), [*run, "entity_id_b"], "left").where("type_a <=> type_b").drop("type_a", "type_b")
     count = F.size("blocking_methods")
-    return found.select("entity_id_a", "entity_id_b", "blocking_methods", F.when(count > 1, "multi").otherwise(F.col("blocking_methods")[0]).alias("blocking_source"), count.cast("tinyint").alias("blocking_method_count"))
+    return found.select(*run, "entity_id_a", "entity_id_b", "blocking_methods", F.when(count > 1, "multi").otherwise(F.col("blocking_methods")[0]).alias("blocking_source"), count.cast("tinyint").alias("blocking_method_count"))
 
 
 def with_entities(pairs: DataFrame, entities: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Pairs with columns of either entity: columns maps an entity's column to the name before _a and _b."""
+    """Pairs with columns of either entity: columns maps an entity's column to the name before _a and _b. Where both tables have a
+    run_id, entities are those of the pair's run."""
+    run = _run(pairs) if _run(entities) else []
     for s in "ab":
-        side = entities.select(F.col("entity_id").alias(f"entity_id_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in columns.items()])
-        pairs = pairs.join(side, f"entity_id_{s}")
+        side = entities.select(*run, F.col("entity_id").alias(f"entity_id_{s}"), *[F.col(c).alias(f"{n}_{s}") for c, n in columns.items()])
+        pairs = pairs.join(side, [*run, f"entity_id_{s}"])
     return pairs

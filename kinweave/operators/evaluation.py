@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import ensure_checkpoints
+
 NO_GROUP, MANY_GROUPS = "__fp__:", "__ambiguous__:"
 DRIFT = dict.fromkeys(("bcubed_f0_5", "bcubed_f1", "pairwise_f0_5", "pairwise_f1"), 0.03) | dict.fromkeys(("nmi", "ari"), 0.05)
 SPAN = "doc_id entity_type char_start char_end".split()
@@ -100,6 +102,20 @@ def blocking_recall(gold_pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return n.select("*", F.round(ratio(F.col("n_found"), F.col("n_gold")), 6).alias("recall"))
 
 
+def running_sums(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """rows with running sums (new column: summed column) from the largest ``order`` on, whose values are distinct.
+
+    Ranges of ``order`` are summed for themselves; each then gets the totals of the ranges before it, one row for each.
+    """
+    ensure_checkpoints(rows.sparkSession)
+    ranged = rows.repartitionByRange(F.desc(order)).withColumn("_range", F.spark_partition_id()).checkpoint()
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0.0)).alias(f"_{n}") for n in sums])
+    own = Window.partitionBy("_range").orderBy(F.desc(order))
+    return ranged.join(F.broadcast(offsets), "_range").withColumns({n: F.sum(c).over(own) + F.col(f"_{n}") for n, c in sums.items()}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def threshold_metrics(scored: DataFrame, threshold: float = 0.5, beta: float = 0.5) -> DataFrame:
     """Precision, recall, F and average precision of scores against labels (columns score, label).
 
@@ -108,9 +124,7 @@ def threshold_metrics(scored: DataFrame, threshold: float = 0.5, beta: float = 0
     hit = (F.col("score") >= threshold).cast("int")
     n = scored.agg(*[F.coalesce(F.sum(e), F.lit(0)).cast("double").alias(a) for a, e in (("tp", hit * F.col("label")), ("fp", hit * (1 - F.col("label"))), ("fn", (1 - hit) * F.col("label")))])
     steps = scored.groupBy("score").agg(F.sum("label").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("all"))
-    # Running sums over distinct scores; they are few where scores are rounded, and range-partitioned sums would do for more.
-    w = Window.orderBy(F.desc("score"))
-    steps = steps.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("all").over(w)})
+    steps = running_sums(steps, "score", {"tp": "pos", "seen": "all"})
     ap = steps.agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("ap"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return n.crossJoin(ap).select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f_beta(p, r, beta), 6).alias("f_beta"), F.round(F.coalesce("ap", F.lit(0.0)), 6).alias("average_precision"))

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,18 +93,17 @@ def join_localities(spans: list[Span], text: str) -> list[Span]:
     return out
 
 
-def corrected_type(text: str, kind: str) -> str:
-    if kind == "LOC" and _BODY.search(text):
-        return "ORG"
-    return "LOC" if kind == "ORG" and _STREET_END.search(text) else kind
+def type_of(text: Column, kind: Column) -> Column:
+    """The type less two slips of taggers: a place that ends in a body's name is an ORG, a body that ends in a street's a LOC."""
+    body, street = (F.lit("(?iU)" + p.pattern) for p in (_BODY, _STREET_END))
+    return F.when((kind == "LOC") & F.regexp_like(text, body), "ORG").when((kind == "ORG") & F.regexp_like(text, street), "LOC").otherwise(kind)
 
 
-def plausible(text: str, kind: str) -> bool:
+def is_plausible(text: Column, kind: Column) -> Column:
     """At least two characters; a one-word ORG is in capitals, or has three characters and begins with one."""
-    text = text.strip()
-    if len(text) < 2:
-        return False
-    return kind != "ORG" or " " in text or text.isupper() or (text[0].isupper() and len(text) >= 3)
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    capital = lambda c: (c == F.upper(c)) & (c != F.lower(c))
+    return (F.length(t) >= 2) & ((kind != "ORG") | F.contains(t, F.lit(" ")) | capital(t) | (capital(F.substring(t, 1, 1)) & (F.length(t) >= 3)))
 
 
 _COMPANY = re.compile(r"\b(?:AS|ASA|ANS|DA|SA|Inc|Ltd|GmbH|AG|Corp)\.?$")
@@ -120,10 +120,8 @@ def capital_tagger(text: str) -> list[Span]:
 
 
 def tagged_spans(text: str, tagger: Tagger = capital_tagger) -> list[Span]:
-    """A tagger's spans of the known labels, joined, corrected and filtered."""
-    spans = sorted((s, e, LABELS[k]) for s, e, k in tagger(text) if k in LABELS)
-    fixed = [(s, e, corrected_type(text[s:e], k)) for s, e, k in join_localities(join_fragments(spans), text)]
-    return [x for x in fixed if plausible(text[x[0] : x[1]], x[2])]
+    """A tagger's spans of the known labels, fragments and localities joined."""
+    return join_localities(join_fragments(sorted((s, e, LABELS[k]) for s, e, k in tagger(text) if k in LABELS)), text)
 
 
 _MENTION = "array<struct<text:string,type:string,char_start:int,char_end:int>>"
@@ -145,7 +143,9 @@ def pattern_mentions(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tagged_mentions(chunks: DataFrame, tagger: Tagger = capital_tagger, text: str = "text") -> DataFrame:
-    return _explode(chunks, lambda t: tagged_spans(t, tagger), "ner", text)
+    """Each chunk's tagged mentions, their types corrected and implausible ones left out (both in the JVM)."""
+    found = _explode(chunks, lambda t: tagged_spans(t, tagger), "ner", text)
+    return found.withColumn("type", type_of(F.col("text"), F.col("type"))).where(is_plausible(F.col("text"), F.col("type")))
 
 
 def _overlaps() -> Column:
@@ -183,6 +183,25 @@ def span_islands(spans: DataFrame, keys: list[str], most_gap: int = 1) -> DataFr
     return runs.groupBy(*keys, "run", "type").agg(F.min("char_start").alias("char_start"), last.alias("char_end"), F.count(F.lit(1)).alias("n_spans")).drop("run")
 
 
+def greedy_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, char_start, char_end of the spans that ``without_overlaps`` keeps, key by key."""
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.select(*keys, "char_start", "char_end").schema.fields)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, end = None, None
+        for batch in batches:
+            keep = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, (*own, start, stop) in enumerate(zip(*columns)):
+                if own != group or start >= end:
+                    group, end = own, stop
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    rows = spans.select(*keys, "char_start", "char_end").repartition(*keys).sortWithinPartitions(*keys, "char_start", F.desc("char_end"))
+    return rows.mapInArrow(pick, kind)
+
+
 def normalized_mentions(mentions: DataFrame) -> DataFrame:
     """Mentions with their canonical form; those with an empty one go."""
     return mentions.withColumn("normalized", normalize_name(F.col("text"), F.col("type"))).where("normalized <> ''")

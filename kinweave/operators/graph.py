@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; set a temporary folder only where none is set (tests)."""
+    """Use spark.checkpoint.dir; make a temporary folder only where none is set and all is on one machine (tests)."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="kinweave-"))
 
 
 def _large(edges: DataFrame) -> DataFrame:

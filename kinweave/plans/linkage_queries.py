@@ -153,16 +153,28 @@ def cosine_features(spark, d):
     return pairs.select("a", "b", F.round(features.cosine(F.col("u"), F.col("v")), 5).alias("cosine"))
 
 
-_NAMES = "('Per Hansen', 'P Hansen', 'PER', 'id 01019012345 x', 'see 01019012345'), ('DNB ASA', 'Den Norske Bank', 'ORG', '01019012345', '010190123456'), ('D.N.B.', 'den norske bank', 'ORG', '', ''), ('Kari Berg', 'KARI BERG', 'PER', '12345678901 10987654321', '10987654321'), ('Oslo', 'Bergen', 'LOC', 'a', 'b'), ('Ola Nordmann', 'Ola Berg', 'PER', '', '12345678901'), ('', 'x', 'PER', '', '')"
+_NAME_ROWS = """rows AS (SELECT p_partkey, p_name AS na, CASE p_size % 6 WHEN 0 THEN left(w[1], 1) || '.' || left(w[2], 1) || '.' WHEN 1 THEN left(w[1], 1) || ' ' || w[2] WHEN 2 THEN upper(p_name) WHEN 3 THEN w[2] || ' ' || w[1] WHEN 4 THEN '' ELSE w[1] END AS nb,
+CASE WHEN p_partkey % 2 = 0 THEN 'PER' ELSE 'ORG' END AS kind, 'id ' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') || ' x' AS ca, CASE p_partkey % 3 WHEN 0 THEN 'see ' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') WHEN 1 THEN lpad(CAST(p_partkey + 1 AS VARCHAR), 11, '0')
+ELSE lpad(CAST(p_partkey AS VARCHAR), 11, '0') || '9' END AS cb FROM (SELECT *, string_split(p_name, ' ') AS w FROM part))"""
 
 
-@query(f"""SELECT na, nb, CASE WHEN na = '' OR nb = '' THEN 0 WHEN lower(na) = lower(nb) OR abbr(na, nb) OR abbr(nb, na) THEN 1 ELSE 0 END AS abbreviation_match_flag,
+@query(f"""WITH {_NAME_ROWS} SELECT p_partkey, CASE WHEN na = '' OR nb = '' THEN 0 WHEN lower(na) = lower(nb) OR abbr(na, nb) OR abbr(nb, na) THEN 1 ELSE 0 END AS abbreviation_match_flag,
 CAST(kind = 'PER' AND trim(na) <> '' AND lower(string_split(trim(na), ' ')[1]) = lower(string_split(trim(nb), ' ')[1]) AS INTEGER) AS first_name_match,
 CAST(kind = 'PER' AND trim(na) <> '' AND lower(string_split(trim(na), ' ')[-1]) = lower(string_split(trim(nb), ' ')[-1]) AS INTEGER) AS last_name_match,
-CAST(len(list_intersect(regexp_extract_all(ca, '\\b\\d{{11}}\\b'), regexp_extract_all(cb, '\\b\\d{{11}}\\b'))) > 0 AS INTEGER) AS norwegian_id_match FROM (VALUES {_NAMES}) t(na, nb, kind, ca, cb)""")
+CAST(len(list_intersect(regexp_extract_all(ca, '\\b\\d{{11}}\\b'), regexp_extract_all(cb, '\\b\\d{{11}}\\b'))) > 0 AS INTEGER) AS norwegian_id_match FROM rows""")
 def name_flags(spark, d):
-    rows = spark.sql(f"SELECT 'r' AS run_id, na AS entity_id_a, nb AS entity_id_b, na AS name_a, nb AS name_b, kind AS entity_type_a, kind AS entity_type_b, ca AS context_a, cb AS context_b, 'd' AS doc_id_a, 'd' AS doc_id_b, 1 AS blocking_method_count FROM VALUES {_NAMES} AS t(na, nb, kind, ca, cb)")
-    return features.add_features(rows).select(F.col("entity_id_a").alias("na"), F.col("entity_id_b").alias("nb"), "abbreviation_match_flag", "first_name_match", "last_name_match", "norwegian_id_match")
+    """Each part's name beside its initials, abbreviation, capitals, turned words, nothing, or first word."""
+    w, size, name = F.split("p_name", " "), F.col("p_size") % 6, F.col("p_name")
+    one, two = F.element_at(w, 1), F.element_at(w, 2)
+    first = lambda c: F.substring(c, 1, 1)
+    other = F.when(size == 0, F.concat(first(one), F.lit("."), first(two), F.lit("."))).when(size == 1, F.concat(first(one), F.lit(" "), two)).when(size == 2, F.upper(name)).when(size == 3, F.concat(two, F.lit(" "), one)).when(size == 4, "").otherwise(one)
+    key = F.col("p_partkey")
+    number = lambda c: F.lpad(c.cast("string"), 11, "0")
+    context = F.when(key % 3 == 0, F.concat(F.lit("see "), number(key))).when(key % 3 == 1, number(key + 1)).otherwise(F.concat(number(key), F.lit("9")))
+    kind = F.when(key % 2 == 0, "PER").otherwise("ORG")
+    ids = {"run_id": F.lit("r"), "entity_id_a": key.cast("string"), "entity_id_b": F.concat(F.lit("b"), key), "name_a": name, "name_b": other, "entity_type_a": kind, "entity_type_b": kind, "context_a": F.concat(F.lit("id "), number(key), F.lit(" x")), "context_b": context, "doc_id_a": F.lit("d"), "doc_id_b": F.lit("d"), "blocking_method_count": F.lit(1)}
+    rows = I.read(spark, d, "part").select(*[c.alias(n) for n, c in ids.items()])
+    return features.add_features(rows).select(F.col("entity_id_a").cast("bigint").alias("p_partkey"), "abbreviation_match_flag", "first_name_match", "last_name_match", "norwegian_id_match")
 
 
 def _abbreviates(s: str, l: str) -> str:
@@ -175,15 +187,6 @@ def _abbreviates(s: str, l: str) -> str:
 
 ORACLE["name_flags"] = ORACLE["name_flags"].replace("abbr(na, nb)", _abbreviates("na", "nb")).replace("abbr(nb, na)", _abbreviates("nb", "na"))
 
-_EVIDENCE = "(1, 0.4, 0.1, 0.0, 0.0, 0, 0.9), (2, 0.4, 0.1, 0.0, 0.0, 1, 0.9), (3, 0.6, 0.1, 0.0, 0.0, 0, 0.9), (4, 0.4, 0.2, 0.0, 0.0, 0, 0.9), (5, 0.4, 0.1, 0.0, 0.0, 0, 0.3), (6, 0.4, 0.1, 0.2, 0.0, 0, 0.9), (7, 0.4, 0.1, 0.0, 0.1, 0, 0.9), (8, 0.49, 0.19, 0.0, 0.0, 0, 0.5)"
-
-
-@query(f"SELECT id, CASE WHEN jw < 0.5 AND lev < 0.2 AND tok = 0 AND tri = 0 AND flag = 0 AND score > 0.49 THEN 0.49 ELSE score END AS score FROM (SELECT id, CAST(jw AS DOUBLE) AS jw, CAST(lev AS DOUBLE) AS lev, CAST(tok AS DOUBLE) AS tok, CAST(tri AS DOUBLE) AS tri, flag, CAST(score AS DOUBLE) AS score FROM (VALUES {_EVIDENCE}) t(id, jw, lev, tok, tri, flag, score))")
-def no_evidence_cap(spark, d):
-    rows = spark.sql(f"SELECT id, double(jw) AS jaro_winkler_similarity, double(lev) AS levenshtein_ratio_similarity, double(tok) AS token_jaccard_similarity, double(tri) AS char_trigram_jaccard_similarity, flag AS abbreviation_match_flag, 0 AS double_metaphone_overlap_flag, 0 AS exact_canonical_name_match, 0 AS first_name_match, 0 AS last_name_match, 0 AS norwegian_id_match, double(score) AS score FROM VALUES {_EVIDENCE} AS t(id, jw, lev, tok, tri, flag, score)")
-    return features.cap_scores(rows).select("id", "score")
-
-
 # Scoring
 
 _SCORED = "scored AS (SELECT quality AS label, round(d.n_chars / (d.n_chars + 2000.0), 2) AS score FROM labels l JOIN (SELECT doc_id, max(n_chars) AS n_chars FROM documents GROUP BY doc_id) d USING (doc_id))"

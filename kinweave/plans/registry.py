@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linkage_queries, text_queries
+from . import audit_queries, linkage_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = linkage_queries.QUERIES | text_queries.QUERIES
-ORACLE: dict[str, str] = linkage_queries.ORACLE | text_queries.ORACLE
+QUERIES: dict[str, Query] = linkage_queries.QUERIES | text_queries.QUERIES | audit_queries.QUERIES
+ORACLE: dict[str, str] = linkage_queries.ORACLE | text_queries.ORACLE | audit_queries.ORACLE
 FLAGSHIP: Query = linkage_queries.entity_resolution

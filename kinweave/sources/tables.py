@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import json
 import os
 import re
@@ -61,20 +60,14 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header; cells that are lists are joined by a bar."""
+    """A folder of CSV files with headers, wherever ``path`` lies; cells that are lists are joined by a bar."""
     flat = rows.select([F.concat_ws("|", c).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes])
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with (part := target.with_suffix(f".{uuid.uuid4().hex}")).open("w", newline="", encoding="utf-8") as file:
-        out = csv.writer(file)
-        out.writerow(flat.columns)
-        out.writerows(flat.toLocalIterator())
-    os.replace(part, target)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """The clusters of a clusters.json, flat."""
-    rows = spark.read.schema(CLUSTERS).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.explode("clusters").alias("c"))
+def read_clusters(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """The clusters of a clusters.json, flat. one_line: each line is a file of its own, as Spark writes them."""
+    rows = spark.read.schema(CLUSTERS).option("multiLine", not one_line).option("mode", "FAILFAST").json(path).select(F.explode("clusters").alias("c"))
     return rows.select("c.*").select("*", "routing_actions_by_profile.*").drop("routing_actions_by_profile")
 
 

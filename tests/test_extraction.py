@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from kinweave.operators import extraction as X
 from kinweave.operators import ingestion as G
 
@@ -25,8 +27,12 @@ def test_span_repairs():
     assert len(X.join_localities([(0, 4, "LOC"), (6, 12, "LOC")], t)) == 2
     t = "Parkveien 3, Essex Police"
     assert len(X.join_localities([(0, 11, "LOC"), (13, 25, "LOC")], t)) == 2
-    assert X.corrected_type("Essex Constabulary", "LOC") == "ORG" and X.corrected_type("Storgata 5", "ORG") == "LOC" and X.corrected_type("Styles Court", "LOC") == "LOC"
-    assert [X.plausible(*a) for a in (("A", "PER"), ("kb", "ORG"), ("Kb", "ORG"), ("KB", "ORG"), ("Interpol", "ORG"), ("kb as", "ORG"))] == [False, False, False, True, True, True]
+
+
+def test_types_and_plausibility(spark):
+    rows = [("Essex Constabulary", "LOC"), ("Storgata 5", "ORG"), ("Styles Court", "LOC"), ("A", "PER"), ("kb", "ORG"), ("Kb", "ORG"), ("KB", "ORG"), ("Interpol", "ORG"), ("kb as", "ORG"), ("Åas", "ORG")]
+    got = spark.createDataFrame(rows, "text string, kind string").select("text", X.type_of(F.col("text"), F.col("kind")).alias("type"), X.is_plausible(F.col("text"), F.col("kind")).alias("fine")).collect()
+    assert [r.type for r in got[:3]] == ["ORG", "LOC", "LOC"] and [r.fine for r in got[3:]] == [False, False, False, True, True, True, True]
 
 
 def test_tagger_is_pluggable():

@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from kinweave.plans import audit_queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [
-    "exact_name_pairs", "shared_code_pairs", "jaccard_pairs", "knn_pairs", "candidate_union", "string_features", "name_flags", "no_evidence_cap", "threshold_metrics", "components", "trivial_clusters", "cluster_evidence", "canonical_names",
-    "cluster_metrics", "two_phase_match", "contract_candidate_pairs", "entity_resolution", "doc_register_incremental", "text_normalize_ws", "unit_of_position", "mention_dedup", "context_window", "entity_normalize", "interval_regex_over_ner", "span_islands", "windowed_counts",
+    "exact_name_pairs", "shared_code_pairs", "jaccard_pairs", "knn_pairs", "candidate_union", "string_features", "name_flags", "threshold_metrics", "components", "trivial_clusters", "cluster_evidence", "canonical_names",
+    "cluster_metrics", "two_phase_match", "contract_candidate_pairs", "entity_resolution", "doc_register_incremental", "text_normalize_ws", "unit_of_position", "mention_dedup", "context_window", "entity_normalize", "interval_regex_over_ner", "span_islands", "windowed_counts", *audit_queries.ORACLE,
 ]
 
 
