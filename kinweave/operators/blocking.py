@@ -108,6 +108,16 @@ def _blocks(vectors: DataFrame, key: str, vector: str, block: int) -> DataFrame:
     return numbered.groupBy("block").agg(F.collect_list("x").alias("xs"))
 
 
+def _block_pairs(blocks: DataFrame, both: bool) -> DataFrame:
+    """l, r: each block beside each (or, unless ``both``, each later one and itself), by an equality join on the two numbers."""
+    n = blocks.groupBy().agg(F.max("block").alias("last"))
+    every = blocks.join(F.broadcast(n))  # one row: the number of blocks
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))
+    left = every.select(F.col("xs").alias("l"), F.col("block").alias("i"), F.explode(numbers).alias("j"))
+    right = every.select(F.col("xs").alias("r"), F.col("block").alias("j"), F.explode(numbers).alias("i"))
+    return left.join(right.hint("shuffle_hash"), ["i", "j"]).where(F.lit(True) if both else F.col("i") <= F.col("j")).select("l", "r")
+
+
 def _products(batch: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray]]:
     for left, right in zip(batch.column(0), batch.column(1)):
         l, r = left.values, right.values
@@ -117,11 +127,11 @@ def _products(batch: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray]]:
 def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
     """query, neighbour, similarity, rank: the k vectors with the largest dot product, exactly; ties go to the smaller key.
 
-    Blocks of vectors meet pairwise (n / block squared tasks of a matrix product each), every task passes on its k best for each
-    query, and a window picks the k best of those. Nothing is broadcast. Similarities are compared to 6 digits.
+    Blocks of vectors meet pairwise by their numbers (n / block squared matrix products), each passes on its k best for each query,
+    and a window picks the k best of those. No vector is broadcast. Similarities are compared to 6 digits. The work grows with the
+    square of the rows: see ``indexed_neighbours`` for many.
     """
-    blocks = _blocks(vectors, key, vector, block)
-    pairs = blocks.select(F.col("xs").alias("l")).crossJoin(blocks.select(F.col("xs").alias("r"))).repartition(F.col("l")[0]["id"], F.col("r")[0]["id"])
+    pairs = _block_pairs(_blocks(vectors, key, vector, block), True)
     kind = vectors.schema[key].dataType.simpleString()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +154,7 @@ def nearest_neighbours(vectors: DataFrame, key: str, vector: str, k: int, block:
 
 def similar_vectors(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """a, b, score of all pairs a < b with a dot product (to 6 digits) of at least ``threshold``."""
-    blocks = _blocks(vectors, key, vector, block)
-    pairs = blocks.select("block", F.col("xs").alias("l")).crossJoin(blocks.select(F.col("block").alias("other"), F.col("xs").alias("r"))).where("block <= other").select("l", "r")
+    pairs = _block_pairs(_blocks(vectors, key, vector, block), False)
     kind = vectors.schema[key].dataType.simpleString()
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +164,94 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, threshold: float,
                 i, j = np.nonzero(sims >= threshold)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), others.take(pa.array(j)), pa.array(sims[i, j])], ["a", "b", "score"])
 
-    found = pairs.repartition(F.col("l")[0]["id"], F.col("r")[0]["id"]).mapInArrow(close, f"a {kind}, b {kind}, score double")
+    found = pairs.mapInArrow(close, f"a {kind}, b {kind}, score double")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a < b").distinct()
 
 
+def _centroids(vectors: DataFrame, key: str, vector: str, lists: int, sample: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids by k-means over the ``sample`` rows (a documented bound) with the smallest hashes of their keys; those rows."""
+    n = vectors.count()
+    end = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * sample // max(n, 1))
+    rows = vectors.select(F.xxhash64(key).alias("h"), F.col(vector).alias("v")).where((F.col("h") <= end) & F.col("v").isNotNull()).orderBy("h").limit(sample).collect()
+    x = np.array([r.v for r in rows], np.float32).reshape(len(rows), -1)
+    if not len(x):
+        return np.zeros((0, 0), np.float32), x
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    own = x[np.random.default_rng(7).permutation(len(x))[:lists]]
+    for _ in range(rounds):
+        nearest = np.argmax(x @ own.T, axis=1)
+        sums = np.zeros_like(own)
+        np.add.at(sums, nearest, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        own = np.where(size > 0, sums / np.maximum(size, 1e-12), own).astype(np.float32)
+    return own, x
+
+
+def _probes(centre: np.ndarray, x: np.ndarray, k: int, recall: float, queries: int = 500) -> int:
+    """Lists to look in so that ``recall`` of the k nearest of some of the sample's rows are found, by the sample itself."""
+    if len(x) <= k:
+        return max(1, len(centre))
+    asked = np.random.default_rng(11).permutation(len(x))[:queries]
+    sims = x[asked] @ x.T
+    sims[np.arange(len(asked)), asked] = -2
+    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    place = np.empty((len(asked), len(centre)), np.int64)
+    np.put_along_axis(place, np.argsort(-(x[asked] @ centre.T), axis=1, kind="stable"), np.arange(len(centre))[None, :], 1)
+    needed = np.sort(np.take_along_axis(place, np.argmax(x @ centre.T, axis=1)[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def indexed_neighbours(vectors: DataFrame, key: str, vector: str, k: int, lists: int | None = None, recall: float = 0.95, sample: int = 20_000, block: int = BLOCK) -> DataFrame:
+    """query, neighbour, similarity, rank as ``nearest_neighbours``, by an inverted file: approximate, every row indexed.
+
+    Centroids come from a bounded sample; each vector stands in the list of its nearest centroid and is looked up in as many of the
+    nearest lists as the sample's own neighbours need for ``recall``: few where vectors form groups, most where they are noise. A
+    list's members and its queries meet in blocks of about ``block``, so a list may hold any share of the rows.
+    The number of lists grows with the square root of the rows (at most 16,384: the centroids are broadcast).
+    """
+    n = vectors.count()
+    lists = lists or int(min(16_384, max(1, round(np.sqrt(n)))))
+    centre, known = _centroids(vectors, key, vector, lists, sample)
+    probes = _probes(centre, known, k, recall)
+    sent = vectors.sparkSession.sparkContext.broadcast(centre)
+    kind, v_kind = (vectors.schema[c].dataType.simpleString() for c in (key, vector))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            near = np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :probes] if batch.num_rows else np.zeros((0, 1), int)
+            take = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            home = np.zeros(near.shape, bool)
+            home[:, 0] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(near.ravel().astype(np.int32)), pa.array(home.ravel())], ["id", "v", "list", "home"])
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    placed = rows.mapInArrow(place, f"id {kind}, v {v_kind}, list int, home boolean")
+    parts = placed.groupBy("list").agg(F.ceil(F.count_if("home") / block).cast("int").alias("members"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("asked"))
+    sized = placed.join(parts, "list").where("members > 0")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    members = sized.where("home").select("id", "v", "list", part("members").alias("m"), spread("asked").alias("q"), F.lit(True).alias("home"))
+    asked = sized.select("id", "v", "list", spread("members").alias("m"), part("asked").alias("q"), F.lit(False).alias("home"))
+
+    def best(key_: tuple, table: pa.Table) -> pa.Table:
+        home = table.column("home").to_numpy()
+        ids = table.column("id").combine_chunks()
+        x = np.array(table.column("v").to_pylist(), np.float64).reshape(table.num_rows, -1)
+        own, others = np.flatnonzero(~home), np.flatnonzero(home)
+        names = np.array(ids.take(pa.array(others)).to_pylist())
+        others = others[np.argsort(names, kind="stable")]
+        sims = np.round(x[own] @ x[others].T, 6)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
+        query, other = np.repeat(own, top.shape[1]), others[top.ravel()]
+        found = np.take_along_axis(sims, top, 1).ravel()
+        return pa.table({"query": ids.take(pa.array(query)), "neighbour": ids.take(pa.array(other)), "similarity": pa.array(found)})
+
+    found = members.unionByName(asked).groupBy("list", "m", "q").applyInArrow(best, f"query {kind}, neighbour {kind}, similarity double").where("query <> neighbour")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def neighbour_pairs(neighbours: DataFrame) -> DataFrame:
     """Neighbour lists as unordered pairs."""
     return neighbours.select(F.least("query", "neighbour").alias("entity_id_a"), F.greatest("query", "neighbour").alias("entity_id_b")).distinct()

@@ -18,6 +18,8 @@ from ..functions.names import context_window, hash_id, normalize_name
 
 Span = tuple[int, int, str]
 Tagger = Callable[[str], list[Span]]
+#: A tagger of many texts at once, for models that work in batches.
+BatchTagger = Callable[[list[str]], list[list[Span]]]
 
 STREETS = "alléen allé bakken gaten gate gata kroken løkka plassen plass stien sti svingen torget torg tunet veien vei".split()
 PLACES = "åsen vollen viken vika tunet toppen svingen stua sætra setra plassen odden neset moen løkka lia kroken hytta huset holtet heim haugen gården fjellet enga berget bakken".split()
@@ -127,11 +129,12 @@ def tagged_spans(text: str, tagger: Tagger = capital_tagger) -> list[Span]:
 _MENTION = "array<struct<text:string,type:string,char_start:int,char_end:int>>"
 
 
-def _explode(chunks: DataFrame, spans_of: Callable[[str], list[Span]], source: str, text: str) -> DataFrame:
+def _explode(chunks: DataFrame, spans_of: Callable[[list[str]], list[list[Span]]], source: str, text: str) -> DataFrame:
     @F.pandas_udf(_MENTION)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: [{"text": t[s:e], "type": k, "char_start": s, "char_end": e} for s, e, k in spans_of(t)] if t else [])
+            filled = texts.fillna("").tolist()
+            yield pd.Series([[{"text": t[s:e], "type": k, "char_start": s, "char_end": e} for s, e, k in found] for t, found in zip(filled, spans_of(filled))], dtype=object)
 
     keys = [c for c in chunks.columns if c != text]
     return chunks.select(*keys, F.explode(find(F.col(text))).alias("m")).select(*keys, "m.*", F.lit(source).alias("source"))
@@ -139,12 +142,22 @@ def _explode(chunks: DataFrame, spans_of: Callable[[str], list[Span]], source: s
 
 def pattern_mentions(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Each chunk's identifiers, with every other column of the chunk. A null or empty text has none."""
-    return _explode(chunks, pattern_spans, "regex", text)
+    return _explode(chunks, lambda texts: [pattern_spans(t) for t in texts], "regex", text)
 
 
-def tagged_mentions(chunks: DataFrame, tagger: Tagger = capital_tagger, text: str = "text") -> DataFrame:
+def tagged_mentions(chunks: DataFrame, tagger: Tagger | BatchTagger = capital_tagger, text: str = "text", batched: bool = False) -> DataFrame:
     """Each chunk's tagged mentions, their types corrected and implausible ones left out (both in the JVM)."""
-    found = _explode(chunks, lambda t: tagged_spans(t, tagger), "ner", text)
+    if batched:
+
+        def spans_of(texts: list[str]) -> list[list[Span]]:
+            return [tagged_spans(t, lambda _, s=s: s) for t, s in zip(texts, tagger(texts))]
+
+    else:
+
+        def spans_of(texts: list[str]) -> list[list[Span]]:
+            return [tagged_spans(t, tagger) for t in texts]
+
+    found = _explode(chunks, spans_of, "ner", text)
     return found.withColumn("type", type_of(F.col("text"), F.col("type"))).where(is_plausible(F.col("text"), F.col("type")))
 
 
@@ -226,10 +239,10 @@ def with_contexts(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     return entities.join(texts, "chunk_id", "left").withColumn("context", F.coalesce(window, F.lit(""))).drop("chunk_text")
 
 
-def extract_entities(chunks: DataFrame, tagger: Tagger = capital_tagger) -> DataFrame:
+def extract_entities(chunks: DataFrame, tagger: Tagger | BatchTagger = capital_tagger, batched: bool = False) -> DataFrame:
     """Chunks to entities: both finders, overlaps, canonical forms, de-duplication, contexts."""
     keys = chunks.select("doc_id", "chunk_id", "page_num", "source_unit_kind", "text")
-    every = merge_patterns_with_tags(pattern_mentions(keys), tagged_mentions(keys, tagger))
+    every = merge_patterns_with_tags(pattern_mentions(keys), tagged_mentions(keys, tagger, batched=batched))
     return with_contexts(dedup_mentions(normalized_mentions(every)), chunks)
 
 

@@ -147,6 +147,17 @@ def short_documents(units: DataFrame, least: int = SHORT_TEXT) -> DataFrame:
     return units.groupBy("run_id", "doc_id").agg(F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("n_chars")).where(F.col("n_chars") < least)
 
 
+def warnings(new: DataFrame, units: DataFrame, found: DataFrame, known: DataFrame | None = None) -> dict[str, int]:
+    """How many documents gave too little text (or none) and how many known paths hold another content now; only kinds that occur."""
+    texts = units.groupBy("run_id", "doc_id").agg(F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("n"))
+    out = {"extraction_failed_or_short": new.join(texts, ["run_id", "doc_id"], "left").where(F.coalesce("n", F.lit(0)) < SHORT_TEXT).count()}
+    if known is not None:
+        old = known.select("run_id", "path", F.col("doc_id").alias("known_id"))
+        out["content_changed_since_registration"] = found.join(old, ["run_id", "path"]).where("doc_id <> known_id").count()
+        out["file_not_found"] = old.join(found, ["run_id", "path"], "left_anti").count()
+    return {k: n for k, n in out.items() if n}
+
+
 def rebuild_text(chunks: DataFrame) -> DataFrame:
     """doc_id, text: each document's text from its chunks, placed by global_start or else by their longest common border."""
 

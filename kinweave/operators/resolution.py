@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from math import ceil, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .graph import connected_components
 
@@ -114,8 +116,12 @@ def _key(members: list[str]) -> str:
     return hashlib.sha256("|".join(sorted(members)).encode()).hexdigest()[:32]
 
 
-def pivot_clusters(comps: DataFrame, edges: DataFrame, neutral: float = NEUTRAL, base_seed: int = 0) -> DataFrame:
-    """As ``trivial_clusters`` for components of more than two nodes; one group of rows for each component."""
+DIAGNOSTICS = "objective double, runs int, early_stopped boolean, elapsed_ms double"
+
+
+def pivot_clusters(comps: DataFrame, edges: DataFrame, neutral: float = NEUTRAL, base_seed: int = 0, diagnostics: bool = False) -> DataFrame:
+    """As ``trivial_clusters`` for components of more than two nodes; one group of rows for each component. With ``diagnostics``,
+    each row also tells its component's objective, pivot runs, whether they ended early, and the time they took."""
     large = comps.where("component_size > 2")
     weighted = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), objective_weight(F.col("score"), neutral).alias("w"))
     inside = weighted.join(large.select(F.col("entity_id").cast("string").alias("a"), "component_id"), "a")
@@ -125,21 +131,40 @@ def pivot_clusters(comps: DataFrame, edges: DataFrame, neutral: float = NEUTRAL,
         ids = sorted(rows.a[rows.b.isna()])
         own = rows[rows.b.notna()]
         weights = {(a, b) if a < b else (b, a): w for a, b, w in zip(own.a, own.b, own.w)}
-        found, _, _ = pivot(ids, dict(sorted(weights.items())), key[0], base_seed=base_seed)
-        return pd.DataFrame([(x, key[0], _key(c), "pivot_correlation") for c in found for x in c], columns=["entity_id", "component_id", "cluster_key", "clustering_method"])
+        began = time.perf_counter()
+        found, objective, runs = pivot(ids, dict(sorted(weights.items())), key[0], base_seed=base_seed)
+        told = (objective, runs, runs < min(RUNS, 2 + ceil(sqrt(len(weights)))), (time.perf_counter() - began) * 1000) if diagnostics else ()
+        return pd.DataFrame([(x, key[0], _key(c), "pivot_correlation", *told) for c in found for x in c], columns=names)
 
     kind = comps.schema["entity_id"].dataType.simpleString()
-    out = inside.select("a", "b", "w", "component_id").unionByName(alone).groupBy("component_id").applyInPandas(solve, "entity_id string, component_id string, cluster_key string, clustering_method string")
+    schema = "entity_id string, component_id string, cluster_key string, clustering_method string" + (f", {DIAGNOSTICS}" if diagnostics else "")
+    names = StructType.fromDDL(schema).names
+    out = inside.select("a", "b", "w", "component_id").unionByName(alone).groupBy("component_id").applyInPandas(solve, schema)
     return out.withColumn("entity_id", F.col("entity_id").cast(kind))
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, neutral: float = NEUTRAL) -> DataFrame:
+def resolve(nodes: DataFrame, edges: DataFrame, neutral: float = NEUTRAL, diagnostics: bool = False) -> DataFrame:
     """entity_id, component_id, cluster_id, clustering_method of all nodes. Only components of three and more leave SQL."""
     comps = components(nodes, edges).checkpoint()
-    every = trivial_clusters(comps, edges, neutral).unionByName(pivot_clusters(comps, edges, neutral))
+    every = trivial_clusters(comps, edges, neutral).unionByName(pivot_clusters(comps, edges, neutral, diagnostics=diagnostics), allowMissingColumns=True)
     return every.withColumnRenamed("cluster_key", "cluster_id")
 
 
+def component_summaries(solved: DataFrame, edges: DataFrame, neutral: float = NEUTRAL) -> DataFrame:
+    """component_id, size, n_edges, n_clusters, is_trivial, clustering_method, objective, runs, early_stopped, elapsed_ms of each
+    component; solved is what ``resolve`` gives with ``diagnostics``. A trivial component took no runs and no time."""
+    place = solved.select("entity_id", "component_id", "cluster_id")
+    a, b = (place.select(F.col("entity_id").alias(s), F.col("component_id").alias(f"c{s}"), F.col("cluster_id").alias(f"k{s}")) for s in "ab")
+    w = objective_weight(F.col("score"), neutral)
+    inside = edges.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("component_id")).agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.when(F.col("ka") == F.col("kb"), w).otherwise(-w)).alias("w"))
+    rows = solved.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("cluster_id").alias("n_clusters"), F.min("clustering_method").alias("clustering_method"), *[F.max(c).alias(c) for c in ("runs", "early_stopped", "elapsed_ms")])
+    zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
+    return rows.join(inside, "component_id", "left").select(
+        "component_id", "size", zero("n_edges", 0), "n_clusters", (F.col("clustering_method") != "pivot_correlation").alias("is_trivial"), "clustering_method", F.round(F.coalesce("w", F.lit(0.0)), 6).alias("objective"),
+        zero("runs", 0), zero("early_stopped", False), F.round(zero("elapsed_ms", 0.0), 3).alias("elapsed_ms"),
+    )
+
+
 def route(confidence: Column, size: Column, profile: str = "quick_low_hitl") -> Column:
     """auto_merge above AUTO_MERGE, the profile's middle way from REVIEW on, else keep_separate; single nodes stay separate."""
     if profile not in PROFILES:
@@ -235,11 +260,15 @@ def most_recent_document(membership: DataFrame, entities: DataFrame, dates: Data
     return best.select("cluster_id", F.col("m.doc_id").alias("most_recent_doc_id"), F.col("m.doc_date").alias("most_recent_doc_date"))
 
 
+LINEAGE = ("blocking_methods", "blocking_source", "blocking_method_count", "shap_top5")
+
+
 def cluster_records(membership: DataFrame, entities: DataFrame, evidence: DataFrame, edges: DataFrame) -> DataFrame:
-    """One nested row for each cluster: evidence, canonical name and type, attributes, members, scored edges."""
+    """One nested row for each cluster: evidence, canonical name and type, attributes, members, scored edges (with the blocking
+    columns and shap_top5 that edges has)."""
     members = membership.join(entities, "entity_id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "doc_id", "normalized", "text"))).alias("members"))
     a, b = membership.select(F.col("entity_id").alias("a"), "cluster_id"), membership.select(F.col("entity_id").alias("b"), F.col("cluster_id").alias("other"))
-    inside = edges.join(a, "a").join(b, "b").where("cluster_id = other").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "score"))).alias("edges"))
+    inside = edges.join(a, "a").join(b, "b").where("cluster_id = other").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "score", *[c for c in LINEAGE if c in edges.columns]))).alias("edges"))
     return evidence.join(canonical_names(membership, entities), "cluster_id").join(cluster_attributes(membership, entities), "cluster_id").join(members, "cluster_id").join(inside, "cluster_id", "left")
 
 

@@ -82,6 +82,15 @@ def knn_pairs(spark, d):
     return blocking.nearest_neighbours(I.read(spark, d, "embeddings"), "vec_id", "embedding", 10).select("query", "neighbour", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("SELECT count(*) * 10 AS n_neighbours, true AS nine_of_ten FROM embeddings")
+def indexed_knn_recall(spark, d):
+    """The inverted file against the exact search, over all vectors as queries: neighbours that both find."""
+    v = I.read(spark, d, "embeddings")
+    exact = blocking.nearest_neighbours(v, "vec_id", "embedding", 10).select("query", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(blocking.indexed_neighbours(v, "vec_id", "embedding", 10).select("query", "neighbour", F.lit(1).alias("got")), ["query", "neighbour"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_neighbours"), (F.sum("got") >= 0.9 * F.count(F.lit(1))).alias("nine_of_ten"))
+
+
 SAME_MAKE = "same_make AS (SELECT x.entity_id AS entity_id_a, y.entity_id AS entity_id_b FROM parts x JOIN parts y ON x.type = y.type AND x.p_type = y.p_type AND x.p_size = y.p_size AND x.entity_id < y.entity_id)"
 CANDIDATES = f"""{PARTS}, {EXACT}, {SAME_MAKE}, sourced AS (SELECT *, 'exact' AS method FROM exact_pairs UNION ALL SELECT *, 'structured' FROM same_make),
 candidates AS (SELECT entity_id_a, entity_id_b, list_sort(list_distinct(list(method))) AS blocking_methods, CASE WHEN count(DISTINCT method) > 1 THEN 'multi' ELSE min(method) END AS blocking_source, CAST(count(DISTINCT method) AS TINYINT) AS blocking_method_count FROM sourced GROUP BY 1, 2)"""

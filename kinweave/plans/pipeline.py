@@ -7,19 +7,22 @@ A stage reads and writes tables under one folder, partitioned by run where rows
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pairs import add_features
 from ..operators import blocking, contracts, extraction, ingestion, resolution, scoring
 from ..operators.graph import ensure_checkpoints
 from ..sources import files, tables
+from . import reports
 from .vectors import hashed_vectors
 
 
@@ -31,10 +34,16 @@ class Run:
     root: str | None = None
     units: DataFrame | None = None
     backends: dict = field(default_factory=dict)
-    tagger: extraction.Tagger = extraction.capital_tagger
+    tagger: extraction.Tagger | extraction.BatchTagger = extraction.capital_tagger
+    batched_tagger: bool = False
+    embedder: Callable[[Column], Column] = hashed_vectors
     model: PipelineModel | None = None
     shap: bool = False
     neighbours: int = 100
+    exact_neighbours: bool = False
+    keep: float = resolution.KEEP
+    neutral: float = resolution.NEUTRAL
+    warnings: dict[str, int] = field(default_factory=dict)
 
     def path(self, table: str) -> str:
         return f"{self.folder.rstrip('/')}/{tables.run_folder(self.run_id)}/{table}"
@@ -42,8 +51,11 @@ class Run:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
 
-    def write(self, table: str, rows: DataFrame) -> int:
-        tables.replace_table(rows.withColumn("run_id", F.lit(self.run_id)) if "run_id" not in rows.columns else rows, self.path(table))
+    def write(self, table: str, rows: DataFrame, check: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Write a table whole; one that breaks its contract doesn't take the place of the old one."""
+        if "run_id" not in rows.columns:
+            rows = rows.withColumn("run_id", F.lit(self.run_id))
+        tables.replace_table(rows, self.path(table), (lambda staged: contracts.require(check(staged), table)) if check else None)
         return self.read(table).count()
 
 
@@ -57,10 +69,13 @@ def ingest(run: Run) -> dict[str, int]:
         binary = files.discover(run.spark, run.root)
         if binary.isEmpty():
             raise FileNotFoundError(f"no .pdf or .docx file under {run.root}")
-        units = files.read_units(binary, run.run_id, run.backends).where("error is null")
+        units = files.read_units(binary, run.run_id, run.backends).checkpoint()
         found = ingestion.document_rows(binary, run.root, run.run_id)
+        run.write("ingestion_errors", units.where("error is not null").select("run_id", "doc_id", "source_unit_kind", "error"))
+        units = units.where("error is null").drop("error")
     known = run.read("docs") if tables.exists(run.spark, run.path("docs")) else None
     new = ingestion.register_documents(found, known).checkpoint()
+    run.warnings = ingestion.warnings(new, units, found, known)
     units = units.join(new.select("doc_id"), "doc_id", "left_semi").checkpoint()
     docs = ingestion.page_counts(new, units)
     chunks = ingestion.chunk_documents(units)
@@ -70,23 +85,32 @@ def ingest(run: Run) -> dict[str, int]:
 
 
 def extract(run: Run) -> dict[str, int]:
-    entities = extraction.extract_entities(run.read("chunks"), run.tagger).withColumn("run_id", F.lit(run.run_id))
-    n = run.write("entities", entities)
-    contracts.require(contracts.check_entities(run.read("entities")), "entities")
-    return {"entities": n}
+    entities = extraction.extract_entities(run.read("chunks"), run.tagger, run.batched_tagger).withColumn("run_id", F.lit(run.run_id))
+    return {"entities": run.write("entities", entities, contracts.check_entities)}
 
 
 def block(run: Run) -> dict[str, int]:
     entities = run.read("entities")
-    vectors = entities.select("entity_id", hashed_vectors(F.col("normalized")).alias("embedding"), hashed_vectors(F.col("context")).alias("context_embedding"))
+    vectors = entities.select("entity_id", run.embedder(F.col("normalized")).alias("embedding"), run.embedder(F.col("context")).alias("context_embedding"))
     run.write("embeddings", vectors)
-    near = blocking.nearest_neighbours(run.read("embeddings"), "entity_id", "embedding", run.neighbours)
+    find = blocking.nearest_neighbours if run.exact_neighbours else blocking.indexed_neighbours
+    near = find(run.read("embeddings"), "entity_id", "embedding", run.neighbours)
     sources = {"exact": blocking.exact_name_pairs(entities), "structured": blocking.structured_id_pairs(entities), "phonetic": blocking.phonetic_pairs(entities).drop("n_shared"), "minhash": blocking.minhash_pairs(entities), "faiss": blocking.neighbour_pairs(near)}
-    n = run.write("candidate_pairs", blocking.union_candidates(sources, entities))
-    contracts.require(contracts.check_candidate_pairs(run.read("candidate_pairs")), "candidate_pairs")
+    n = run.write("candidate_pairs", blocking.union_candidates(sources, entities), contracts.check_candidate_pairs)
+    tables.put_json(run.spark, manifest(run, n), run.path("handoff_manifest.json"))
     return {"candidate_pairs": n}
 
 
+def manifest(run: Run, candidates: int) -> dict:
+    """What the matching stages get from the blocking stage."""
+    entities, first = run.read("entities"), run.read("embeddings").select(F.size("embedding").alias("n")).first()
+    types = entities.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()  # a handful of types
+    return {
+        "schema_version": "1.1", "run_id": run.run_id, "created_at": datetime.now(timezone.utc).isoformat(), "mention_count": sum(r.n for r in types), "candidate_count": candidates,
+        "embedding_dim": first.n if first else None, "entity_types_present": sorted(r.type for r in types), "k": run.neighbours,
+    }
+
+
 def featurize(run: Run) -> dict[str, int]:
     entities = run.read("entities").join(run.read("embeddings").drop("run_id"), "entity_id", "left")
     columns = {"normalized": "name", "context": "context", "type": "entity_type", "doc_id": "doc_id", "embedding": "embedding", "context_embedding": "context_embedding"}
@@ -94,26 +118,28 @@ def featurize(run: Run) -> dict[str, int]:
 
 
 def score(run: Run) -> dict[str, int]:
-    n = run.write("scored_pairs", scoring.scored_pairs(run.read("features"), run.read("candidate_pairs"), run.model, "gbt" if run.model else "rules", run.shap))
-    contracts.require(contracts.check_scored_pairs(run.read("scored_pairs"), run.read("candidate_pairs")), "scored_pairs")
-    return {"scored_pairs": n}
+    rows = scoring.scored_pairs(run.read("features"), run.read("candidate_pairs"), run.model, "gbt" if run.model else "rules", run.shap)
+    return {"scored_pairs": run.write("scored_pairs", rows, lambda staged: contracts.check_scored_pairs(staged, run.read("candidate_pairs")))}
 
 
 def resolve(run: Run) -> dict[str, int]:
+    resolution.check_thresholds(run.keep, run.neutral)
     entities = run.read("entities")
-    scored = run.read("scored_pairs").select(F.col("entity_id_a").alias("a"), F.col("entity_id_b").alias("b"), "score")
-    edges = resolution.retained_edges(scored, entities).checkpoint()
-    membership = resolution.resolve(entities, edges).checkpoint()
-    evidence = resolution.cluster_evidence(membership, edges)
-    records = resolution.cluster_records(membership.select("entity_id", "cluster_id"), entities.drop("run_id"), evidence, edges)
+    scored = run.read("scored_pairs").select(F.col("entity_id_a").alias("a"), F.col("entity_id_b").alias("b"), "score", *resolution.LINEAGE)
+    edges = resolution.retained_edges(scored, entities, run.keep).checkpoint()
+    membership = resolution.resolve(entities, edges, run.neutral, diagnostics=True).checkpoint()
+    evidence = resolution.cluster_evidence(membership, edges, run.neutral)
+    records = resolution.cluster_records(membership.select("entity_id", "cluster_id"), entities.drop("run_id"), evidence, scored)
     method = membership.select("entity_id", "clustering_method", "component_id")
     rows = resolution.resolved_entities(records).join(method, "entity_id")
     rows = rows.select(
         F.lit(run.run_id).alias("run_id"), "cluster_id", "entity_id", "doc_id", "entity_type", "canonical_name", "canonical_type", F.col("cluster_size").cast("int").alias("cluster_size"), F.col("confidence").cast("float").alias("confidence"),
         "needs_review", "route_action", "clustering_method", "component_id", "doc_ids", F.lit(None).cast("string").alias("most_recent_doc_id"), F.lit(None).cast("date").alias("most_recent_doc_date"), "attributes",
     )
-    n = run.write("resolved_entities", rows)
-    contracts.require(contracts.check_resolved_entities(run.read("resolved_entities")), "resolved_entities")
+    n = run.write("resolved_entities", rows, contracts.check_resolved_entities)
+    run.write("cluster_records", records)
+    run.write("components", resolution.component_summaries(membership, edges, run.neutral))
+    tables.put_json(run.spark, reports.diagnostics(run, edges), run.path("resolution_diagnostics.json"))
     return {"resolved_entities": n, "clusters": run.write("clusters", evidence)}
 
 
@@ -144,8 +170,9 @@ def run_pipeline(run: Run, stages=STAGES) -> dict:
             record["error"] = f"{type(e).__name__}: {e}"[:1000]
         record["elapsed_s"] = round(time.monotonic() - began, 3)
         summary["stages"].append(record)
-    if "://" not in run.folder or run.folder.startswith("file:"):
-        tables.write_json(summary, run.path("pipeline_summary.json").removeprefix("file://"))
+    if run.warnings:
+        summary["warnings"] = run.warnings
+    tables.put_json(run.spark, summary, run.path("pipeline_summary.json"))
     if failure:
         raise failure
     return summary
@@ -167,6 +194,4 @@ def main(args: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    import sys
-
     sys.exit(main())

@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 from base64 import urlsafe_b64decode, urlsafe_b64encode
+from collections.abc import Callable
 from datetime import date, datetime
 from pathlib import Path
 
@@ -106,6 +107,23 @@ def write_json(value, path: str) -> None:
     os.replace(part, target)
 
 
+def put_json(spark: SparkSession, value, path: str) -> None:
+    """As ``write_json``, wherever the path lies: by the session's file systems."""
+    put_text(spark, json.dumps(value, indent=2, sort_keys=True, default=_plain, ensure_ascii=False) + "\n", path)
+
+
+def put_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file, written beside its place and then moved there."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = of(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(of(path), False)
+    fs.rename(part, of(path))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -123,18 +141,23 @@ def append_new(rows: DataFrame, path: str, keys: list[str], partition: str = "ru
     return rows.count()
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the table and then take its place, so that a failed write leaves the old one."""
+def replace_table(rows: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> None:
+    """Write beside the table, look at what was written, and take the table's place: a failed write, a failed ``check`` or a failed
+    move leaves the old one."""
     spark = rows.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows.write.parquet(staged)
+    if check:
+        check(spark.read.schema(rows.schema).parquet(staged))
     jvm = spark.sparkContext._jvm
     of = jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     old = f"{staged}.old"
     if fs.exists(of(path)):
         fs.rename(of(path), of(old))
-    fs.rename(of(staged), of(path))
+    if not fs.rename(of(staged), of(path)):
+        fs.rename(of(old), of(path))
+        raise OSError(f"{staged} can't be moved to {path}")
     fs.delete(of(old), True)
 
 
