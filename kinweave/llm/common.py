@@ -136,82 +136,86 @@ def delete(spark: SparkSession, path: str) -> None:
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _probes(h: np.ndarray, bits: int, probes: int = PROBES) -> Iterator[np.ndarray]:
+def _probes(h: np.ndarray, bits: int | np.ndarray, probes: int = PROBES) -> Iterator[np.ndarray]:
     a = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     b = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
     for i in range(probes):
         x = a + np.uint64(i) * b
-        yield ((x >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+        yield ((x >> np.uint64(32)) % np.asarray(bits, np.uint64)).astype(np.int64)
 
 
 class KeyFilter:
-    """A Bloom filter over 64-bit keys, built by the executors in parts and broadcast; it never exceeds ``limit`` bytes.
+    """A Bloom filter over 64-bit keys, built by the executors in parts and broadcast; it never exceeds ``limit`` bytes or so.
 
     It has ``FILTER_BITS`` bits for each key as long as they fit. Of more keys it gets fuller, so that more rows count as held
     and shuffle: the plan and the result are the same for any number of keys. It has false positives and no false negatives.
 
-    With ``repeated`` it holds only keys that occur at least twice, and its size follows their number. Pass one deals all keys
-    to parts of about ``PART_KEYS`` at most; each part keeps a plane of bits and passes on the keys that find theirs set. Pass two
-    makes the filter of those.
+    With ``repeated`` it holds only keys that occur at least twice, and its size follows their number. All keys are dealt to parts
+    of about ``PART_KEYS`` at most; in a first pass each part keeps a plane of bits and sets those keys aside that find theirs set; in
+    the second it makes the filter of them.
     """
 
     def __init__(self, keys: DataFrame, repeated: bool = False, limit: int = FILTER_LIMIT, count: int | None = None):
         spark = keys.sparkSession
         small_batches(spark)
-        name = keys.columns[0]
         n = keys.count() if count is None else count
         parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), n // 4096 + 1), -(-n // PART_KEYS))
-        bits = max(1024, -(-n * FILTER_BITS // parts) // 64 * 64 + 64)
-
-        @released
-        def again(batches):
-            seen: dict[int, np.ndarray] = {}
-            for batch in batches:
-                part = batch.column(1).to_numpy(zero_copy_only=False)
-                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for s in np.unique(part):
-                    plane = seen.setdefault(int(s), np.zeros(bits, np.bool_))
-                    values, counts = np.unique(h[part == s], return_counts=True)
-                    where = list(_probes(values, bits))
-                    on = (counts > 1) | np.logical_and.reduce([plane[p] for p in where])
-                    for p in where:
-                        plane[p] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(values[on].view(np.int64)), pa.array(np.full(int(on.sum()), s, np.int32))], ["k", "s"])
-
-        dealt = keys.select(F.col(name).alias("k")).where("k is not null").withColumn("s", F.expr(f"cast(pmod(shiftrightunsigned(k, 40), {parts}) as int)")).repartition(parts, "s")
-        if repeated:
-            dealt = cut(dealt.mapInArrow(again, "k bigint, s int"))
-            n = dealt.count()
-        room = max(64, min(limit * 8, max(1024, n * FILTER_BITS)) // parts // 64 * 64)
-        probes = max(1, min(PROBES, round(0.7 * room * parts / max(n, 1))))
+        first = max(1024, -(-n * FILTER_BITS // parts) // 64 * 64 + 64)  # bits of a part's first plane
+        most = max(64, limit * 8 // parts // 64 * 64)
 
         @released
         def build(batches):
             planes: dict[int, np.ndarray] = {}
+            held: dict[int, list[np.ndarray]] = {}
             for batch in batches:
                 part = batch.column(1).to_numpy(zero_copy_only=False)
                 h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for s in np.unique(part):
-                    plane = planes.setdefault(int(s), np.zeros(room, np.bool_))
-                    for p in _probes(h[part == s], room, probes):
-                        plane[p] = True
-            yield pa.RecordBatch.from_pydict({"s": pa.array(list(planes), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in planes.values()], pa.binary())})
-
-        # The rows of a part are in one partition, so the planes need no further shuffle.
-        planes = np.zeros((parts, room // 8), np.uint8)
-        for r in dealt.mapInArrow(build, "s int, bits binary").collect():
-            planes[r.s] |= np.frombuffer(r.bits, np.uint8)
-        self.parts, self.bits, self.probes = parts, room, probes
-        self.broadcast = spark.sparkContext.broadcast(planes)
+                for s in np.unique(part).tolist():
+                    values, counts = np.unique(h[part == s], return_counts=True)
+                    if repeated:
+                        plane = planes.setdefault(s, np.zeros(first, np.bool_))
+                        where = list(_probes(values, first))
+                        values, set_ = values[(counts > 1) | np.logical_and.reduce([plane[p] for p in where])], where
+                        for p in set_:
+                            plane[p] = True
+                    own = held.setdefault(s, [])
+                    own.append(values)
+                    if len(own) > 64:
+                        held[s] = [np.unique(np.concatenate(own))]
+            out = {"s": [], "bits": [], "probes": [], "plane": []}
+            for s, own in held.items():
+                values = np.unique(np.concatenate(own))
+                if not len(values):
+                    continue
+                bits = min(most, -(-len(values) * FILTER_BITS // 64) * 64)
+                probes = max(1, min(PROBES, round(0.7 * bits / len(values))))
+                plane = np.zeros(bits, np.bool_)
+                for p in _probes(values, bits, probes):
+                    plane[p] = True
+                for k, v in zip(out, (s, bits, probes, np.packbits(plane).tobytes())):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("s", pa.int32()), ("bits", pa.int64()), ("probes", pa.int32()), ("plane", pa.binary())]))
+
+        dealt = keys.select(F.col(keys.columns[0]).alias("k")).where("k is not null").withColumn("s", F.expr(f"cast(pmod(shiftrightunsigned(k, 40), {parts}) as int)"))
+        rows = sorted(dealt.repartition(parts, "s").mapInArrow(build, "s int, bits bigint, probes int, plane binary").collect(), key=lambda r: r.s)
+        self.parts, bits, probes = parts, np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+        for r in rows:
+            bits[r.s], probes[r.s] = r.bits, r.probes
+        self.broadcast = spark.sparkContext.broadcast((np.frombuffer(b"".join(r.plane for r in rows), np.uint8), np.cumsum(bits) - bits, bits, probes))
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Whether each 64-bit key may be in the filter; for use on the executors."""
-        planes = self.broadcast.value
+        plane, start, bits, probes = self.broadcast.value
         h = keys.astype(np.int64, copy=False).view(np.uint64)
         part = ((h >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int64)
-        found = np.ones(len(h), bool)
-        for p in _probes(h, self.bits, self.probes):
-            found &= (planes[part, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        found = bits[part] > 0
+        if not found.any():
+            return found
+        size, start, probes = np.maximum(bits[part], 1).astype(np.uint64), start[part], probes[part]
+        most = len(plane) * 8 - 1
+        for i, p in enumerate(_probes(h, size)):
+            at = np.minimum(start + p, most)
+            found &= ((plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1) | (i >= probes)
         return found
 
     def holds(self, key: Column) -> Column:
