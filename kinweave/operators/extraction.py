@@ -51,6 +51,8 @@ def _expanded(pattern: str) -> re.Pattern[str]:
 
 
 FAMILIES: list[tuple[str, re.Pattern[str]]] = [(kind, _expanded(p)) for kind, p in _WRITTEN]
+#: What no pattern matches without: chunks that lack it stay in the JVM.
+_HINT = rf"(?U)\d|@|_|\b(?:{_STREET})\b|{_UP}{_ANY}*(?:{_STREET})\b"
 _BODY = re.compile(rf"\b(?:{'|'.join(BODIES)})\s*$", re.I)
 _STREET_END = re.compile(rf"(?:{_STREET}|avenue|drive|lane|road|square|street)\s*\d*\s*$", re.I)
 _HEAD = re.compile(rf"(?:(?:{'|'.join(PLACES)})|(?:{_STREET})(?:\s+\d+{'[A-Z]'}?)?)\s*$", re.I)
@@ -142,7 +144,7 @@ def _explode(chunks: DataFrame, spans_of: Callable[[list[str]], list[list[Span]]
 
 def pattern_mentions(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Each chunk's identifiers, with every other column of the chunk. A null or empty text has none."""
-    return _explode(chunks, lambda texts: [pattern_spans(t) for t in texts], "regex", text)
+    return _explode(chunks.where(F.col(text).rlike(_HINT)), lambda texts: [pattern_spans(t) for t in texts], "regex", text)
 
 
 def tagged_mentions(chunks: DataFrame, tagger: Tagger | BatchTagger = capital_tagger, text: str = "text", batched: bool = False) -> DataFrame:

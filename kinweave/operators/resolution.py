@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+from bisect import bisect_left
+from collections.abc import Iterator
 from math import ceil, sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +36,31 @@ def set_hash(members: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(members), "|"), 256), 1, 32)
 
 
+def set_hashes(rows: DataFrame) -> DataFrame:
+    """root, component_id, component_size: as ``set_hash`` of each root's members (columns root, member), which stream by in order, so
+    that a set may be of any size."""
+    kind = rows.schema["root"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, current, digest, n = None, None, None, 0
+        for batch in batches:
+            done = []
+            schema = pa.schema([("root", batch.schema.field(0).type), ("component_id", pa.string()), ("component_size", pa.int32())])
+            for root, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if root != current or digest is None:
+                    if digest is not None:
+                        done.append((current, digest.hexdigest()[:32], n))
+                    current, digest, n = root, hashlib.sha256(member.encode()), 1
+                else:
+                    digest.update(b"|" + member.encode())
+                    n += 1
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*done))) if done else {k: [] for k in schema.names}, schema)
+        if digest is not None:
+            yield pa.RecordBatch.from_pydict({"root": [current], "component_id": [digest.hexdigest()[:32]], "component_size": [n]}, schema)
+
+    return rows.repartition("root").sortWithinPartitions("root", "member").mapInArrow(run, f"root {kind}, component_id string, component_size int")
+
+
 def retained_edges(scored: DataFrame, nodes: DataFrame | None = None, keep: float = KEEP) -> DataFrame:
     """Scored pairs (a, b, score) from ``keep`` on. With nodes (entity_id), an end that isn't one raises when the plan runs,
     whatever the pair's score."""
@@ -51,8 +79,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """entity_id, component_id, component_size: every node, isolated ones too; the id is a hash of the sorted members."""
     joined = connected_components(edges, "a", "b")
     labelled = nodes.select("entity_id").join(joined.withColumnRenamed("node", "entity_id"), "entity_id", "left").withColumn("root", F.coalesce("component", "entity_id"))
-    sets = labelled.groupBy("root").agg(F.collect_list(F.col("entity_id").cast("string")).alias("m"))
-    sets = sets.select("root", set_hash(F.col("m")).alias("component_id"), F.size("m").alias("component_size"))
+    sets = set_hashes(labelled.select("root", F.col("entity_id").cast("string").alias("member")))
     return labelled.join(sets, "root").select("entity_id", "component_id", "component_size")
 
 
@@ -92,12 +119,13 @@ def pivot(ids: list[str], weights: dict[tuple[str, str], float], component_id: s
     best, best_score, stale, done = None, float("-inf"), 0, 0
     for run in range(min(cap, 2 + ceil(sqrt(len(weights))))):
         draw = random.Random(seed + run)
-        left, free, clusters = list(ids), set(ids), []
+        left, free, clusters = sorted(ids), set(ids), []
         while left:
             centre = left[draw.randrange(len(left))] if run else left[0]
             own = {centre, *(x for x in near[centre] if x in free)}
             free -= own
-            left = [x for x in left if x in free]
+            for x in own:
+                del left[bisect_left(left, x)]
             clusters.append(sorted(own))
         clusters.sort()
         place = {x: k for k, c in enumerate(clusters) for x in c}
