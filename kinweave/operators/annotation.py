@@ -88,6 +88,24 @@ def suggest(docs: DataFrame, seeds: dict[str, list[str]]) -> DataFrame:
     return docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*")
 
 
+def tasks(docs: DataFrame, found: DataFrame, model: str = "seeds") -> DataFrame:
+    """doc_id, task: each document (doc_id, doc_name, text) as a labelling task in JSON, with the suggestions (see ``suggest``) as its
+    prediction; documents without any have an empty one."""
+    value = F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.col("s.text").alias("text"), F.array(F.col("s.type")).alias("labels"))
+    result = F.struct(F.lit("label").alias("from_name"), F.lit("text").alias("to_name"), F.lit("labels").alias("type"), value.alias("value"))
+    lists = found.alias("s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", result.alias("r"))))["r"].alias("result"))
+    rows = docs.join(lists, "doc_id", "left")
+    none = F.array().cast(lists.schema["result"].dataType)
+    prediction = F.struct(F.lit(model).alias("model_version"), F.coalesce("result", none).alias("result"))
+    return rows.select("doc_id", F.to_json(F.struct(F.struct("doc_id", "doc_name", "text").alias("data"), F.array(prediction).alias("predictions"))).alias("task"))
+
+
+def task_manifest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, doc_name, n_chars, n_suggestions, by_type (a map) of each task."""
+    n = found.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("m"))
+    return docs.join(n, "doc_id", "left").select("doc_id", "doc_name", F.length("text").alias("n_chars"), F.coalesce("n", F.lit(0)).alias("n_suggestions"), F.coalesce("m", F.create_map().cast("map<string,bigint>")).alias("by_type"))
+
+
 def read_brief(text: str) -> dict:
     """A brief: lines of ``key: value``, lists in brackets or as dashed lines below; '#' begins a comment."""
     out: dict = {}

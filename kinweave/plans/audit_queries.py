@@ -352,6 +352,30 @@ def gold_rows(spark, d):
     return annotation.gold_mentions(_export(spark, d).where(F.size("labels") > 0)).select("doc_id", "mention_id", "entity_type", "group_id")
 
 
+_SEEN = "seen AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS doc_name, text, e, strpos(text, e) - 1 AS s FROM (SELECT *, unnest(list_distinct(regexp_extract_all(text, '[\\w.%+-]+@[A-Za-z\\d.-]+[.][A-Za-z]{2,}'))) AS e FROM documents))"
+
+
+def _seen(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("doc_name"), "text")
+    mails = docs.select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w.%+-]+@[A-Za-z\d.-]+[.][A-Za-z]{2,}"), F.lit(0)))).alias("text"))
+    start = F.instr(F.col("body"), F.col("text")) - 1
+    return docs, mails.select("doc_id", start.alias("char_start"), (start + F.length("text")).alias("char_end"), F.lit("COMM").alias("type"), "text")
+
+
+@query(f"WITH {_SEEN} SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, source AS doc_name, n_chars, coalesce(n, 0) AS n_suggestions FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM seen GROUP BY 1) s ON s.doc_id = CAST(d.doc_id AS VARCHAR)")
+def task_manifest(spark, d):
+    return annotation.task_manifest(*_seen(spark, d)).select("doc_id", "doc_name", F.col("n_chars").cast("bigint").alias("n_chars"), "n_suggestions")
+
+
+@query(f"WITH {_SEEN}, first AS (SELECT doc_id, min({{'s': s, 'e': e}}) AS m, count(*) AS n FROM seen GROUP BY 1) SELECT doc_id, n AS n_results, m.s AS start, m.e AS text FROM first")
+def annotation_tasks(spark, d):
+    """The tasks' JSON read back: how many results, and the first."""
+    docs, found = _seen(spark, d)
+    result = F.from_json("task", "predictions array<struct<result:array<struct<value:struct<start:bigint,text:string>>>>>")["predictions"][0]["result"]
+    t = annotation.tasks(docs, found).withColumn("result", result).where(F.size("result") > 0)
+    return t.select("doc_id", F.size("result").cast("bigint").alias("n_results"), F.col("result")[0]["value"]["start"].alias("start"), F.col("result")[0]["value"]["text"].alias("text"))
+
+
 # Reads and writes
 
 
