@@ -43,3 +43,30 @@ def test_documents_decode_to_their_ids(spark):
         ids = encoder().encoding.encode_ordinary(t)
         assert S.decode(got[i].words, got[i].block_offsets, got[i].n_tokens).tolist() == ids == encoder().encode(buf, offs)[0].tolist()
     assert S.total_bytes(S.encode_documents(docs)).first().n_bytes < 3 * sum(r.n_tokens or 0 for r in got.values())
+
+
+def plain(values):
+    """Value by value: the densest selector that holds the next values of the block; at a block's end it may hold fewer."""
+    modes = [(0, 240, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60)]
+    words, starts = [], []
+    for at in range(0, len(values), 240):
+        block = values[at : at + 240]
+        starts.append(len(words))
+        while block:
+            for selector, count, width in modes:
+                own = block[:count]
+                if all(v < 1 << width for v in own):
+                    words.append(selector << 60 | sum(v << width * j for j, v in enumerate(own)))
+                    break
+            else:
+                own = block[:1]
+                words += [1 << 60, own[0]]
+            block = block[len(own) :]
+    return words, starts
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(VALUE, st.integers(0, 300), st.just(1)), max_size=600))
+def test_words_are_those_of_a_plain_encoder(values):
+    words, _, starts, _ = S.pack(np.array(values, np.uint64), np.array([0, len(values)]))
+    assert (words.tolist(), starts.tolist()) == plain(values)

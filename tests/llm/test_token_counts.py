@@ -41,3 +41,42 @@ def test_sections_are_those_of_brute_force(spark, rule):
 def test_unknown_rule(spark):
     with pytest.raises(ValueError):
         T.section_tokens(spark.createDataFrame([], "doc_id bigint, text string"), rule="x")
+
+
+def test_fields_against_brute_force(spark):
+    """Sections with gaps, touching ones, empty ones and ones beyond the text, by every rule."""
+    rng = random.Random(3)
+    rows = [(n, "".join(rng.choices(["word ", "é", "🙂", "longerword", "\n", "12345"], k=rng.randint(0, 60))), "x") for n in range(40)] + [(None, "text of a null id", "x"), (0, "another row of id 0", "x"), (41, None, "x")]
+    sections = []
+    for i, t, _ in rows[:41] + [rows[42]]:
+        cuts = sorted(rng.choices(range((len(t or "") or 1) + 5), k=8))
+        sections += [(i, f"s{k}", a, b) for k, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, section string")
+    table = spark.createDataFrame([*sections, (999, "no document", 0, 3)], "doc_id bigint, section string, char_start int, char_end int")
+    enc = encoder().encoding
+    for rule in T.RULES:
+        want = []
+        for i, t, _ in rows:
+            t = t or ""
+            own = [(n, min(a, len(t)), min(b, len(t))) for d, n, a, b in sections if d == i]
+            spans = [(n, len(t[:a].encode()), len(t[:b].encode())) for n, a, b in own]
+            parts, at = [], 0
+            for n, a, b in sorted((x for x in spans if x[2] > x[1]), key=lambda x: x[1:]):
+                if a > at:
+                    parts.append((None, at, a))
+                parts.append((n, a, b))
+                at = b
+            parts.append((None, at, len(t.encode()))) if len(t.encode()) > at else None
+            counts, place = {n: [0, 0] for n, _, _ in own}, 0
+            for token in enc.encode_ordinary(t):
+                end = place + len(enc.decode_single_token_bytes(token))
+                over = [(min(b, end) - max(a, place), -k, n) for k, (n, a, b) in enumerate(parts) if a < end and place < b]
+                best = max(over) if rule == "majority" else over[0 if rule == "start" else -1]
+                if best[2] is not None:
+                    counts[best[2]][0] += 1
+                    counts[best[2]][1] += len(over) > 1
+                place = end
+            want += [(i, n, a, max(a, b), *counts[n]) for n, a, b in own]
+        got = [tuple(r) for r in T.field_tokens(docs, table, rule=rule).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert T.field_tokens(docs, table.limit(0)).count() == 0
