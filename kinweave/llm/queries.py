@@ -21,7 +21,7 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.containments(fingerprints.fingerprints(documents(spark, sf_dir)))
+    return fingerprints.links(documents(spark, sf_dir))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,8 @@ def test_an_insertion_changes_few_chunks():
 
 def test_pairs_are_those_of_brute_force(spark):
     rows = corpus()
-    prints = C.fingerprints(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    prints = C.fingerprints(docs)
     sets = {}
     for r in prints.collect():
         assert (r.n_bytes is None) == (r.digests is None)
@@ -73,17 +74,30 @@ def test_pairs_are_those_of_brute_force(spark):
     rep = {}
     for k in order:
         rep.setdefault(tuple(sorted(sets[k].items())), k)
-    want = set()
+    want, between = set(), []
     for a in order:
         for b in order:
             if a == b:
                 continue
             ra, rb = rep[tuple(sorted(sets[a].items()))], rep[tuple(sorted(sets[b].items()))]
             shared, total = sum(w for d, w in sets[a].items() if d in sets[b]), sum(sets[a].values())
+            if ra != rb and (ra, rb) == (a, b) and shared >= C.THRESHOLD * total:
+                between.append((a, b, shared, total))
             if (ra == rb and ra in (a, b)) or (ra != rb and (ra, rb) == (a, b) and shared >= C.THRESHOLD * total):
                 want.add((a[1], b[1], shared, total))
-    got = C.containments(prints).collect()
-    assert {(r.doc_id, r.in_doc_id, r.shared_bytes, r.n_bytes) for r in got} == want and len(got) == len(want) > 50
+    for options in ({}, {"limit": 16, "block": 5}):  # with filters that tell nothing, and blocks that are split
+        got = C.containments(docs, **options).collect()
+        assert {(r.doc_id, r.in_doc_id, r.shared_bytes, r.n_bytes) for r in got} == want and len(got) == len(want) > 50
+    # The numbers of each document's links, those between representatives counted for all members.
+    of = {k: rep[tuple(sorted(sets[k].items()))] for k in order}
+    into = {k: [(w, b) for a, b, w, _ in between if a == k] for k in rep.values()}
+    out = {k: sum(b == k for _, b, _, _ in between) for k in rep.values()}
+    for options in ({}, {"block": 3}):
+        rows_ = C.links(docs, **options).collect()
+        assert len(rows_) == len(order)
+        told = {(r.doc_id, r.class_id, r.class_size, r.n_containing, r.n_contained, None if r.containment is None else round(r.containment, 9)) for r in rows_}
+        best = lambda k: round(max(w for w, _ in into[of[k]]) / sum(sets[k].values()), 9) if into[of[k]] else None
+        assert told == {(k[1], of[k][1], sum(x == of[k] for x in of.values()), len(into[of[k]]), out[of[k]], best(k)) for k in order}
 
 
 def test_near_copies_are_found(spark):
@@ -98,10 +112,10 @@ def test_near_copies_are_found(spark):
             words[at] = word()
         rows.append((n + 1, " ".join(words)))
         want |= {(n, n + 1), (n + 1, n)}
-    got = C.containments(C.fingerprints(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)))
+    got = C.containments(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA))
     assert {(r.doc_id, r.in_doc_id) for r in got.collect()} == want
 
 
 def test_empty(spark):
-    assert C.containments(C.fingerprints(spark.createDataFrame([], SCHEMA))).count() == 0
+    assert C.containments(spark.createDataFrame([], SCHEMA)).count() == 0
     assert not len(C.gear(np.zeros(0, np.uint8)))
