@@ -128,6 +128,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of ``written``, which nothing reads any more."""
+    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder, if the session still stands."""
     context = spark.sparkContext

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, CHUNK_BYTES, FILTER_LIMIT, KeyFilter, bytes_of, col, pieces, released, small_batches, text_hash, written
+from .common import BATCH_BYTES, CHUNK_BYTES, FILTER_LIMIT, KeyFilter, bytes_of, col, discard, pieces, released, small_batches, text_hash, written
 from .kernels import BYTE_HASH, U, Four, Two, mix, ranges, span_hash
 
 LEAST, NORMAL, MOST = 8, 24, 96
@@ -33,6 +33,9 @@ _LOW = GEAR.astype(np.uint8)
 BLOCK = 16_384
 #: Containment from which a pair is reported.
 THRESHOLD = 0.5
+#: Documents that are only looked at for each one that looks up, from which on a place takes no more of them than it needs; such places at
+#: most (the largest; to others whole documents are sent).
+CROWD, CROWDED = 8, 1 << 20
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -191,7 +194,8 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
 
     No list is capped: a document is looked up by its rarest chunks only, as many as weigh more than the share it may lack, which
     no pair at the threshold can miss. How rare a chunk is, filters of ``limit`` bytes at most tell; the result doesn't depend on
-    them, nor on ``block``, of about how many documents the chunks meet at a time. Chunks are counted, and compared within a block, by 48
+    them, nor on ``block``, of about how many documents the chunks meet at a time. Where ``CROWD`` times as many are looked at as look up,
+    the former send only chunks that the latter have (a filter of ``limit`` bytes tells; a fuller one sends more). Chunks are counted, and compared within a block, by 48
     bits of their digests. The digests are computed anew for each use: they are about as large as the texts.
     """
     members, classes, _, found = _search(docs, text, doc_id, threshold, limit, block, False)
@@ -261,6 +265,7 @@ def _search(docs: DataFrame, text: str, doc_id: str, threshold: float, limit: in
     sizes = {r.level: r.n for r in common.groupBy(F.floor(F.log2("df") / 3).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
     steps = [(max(2, 8**level), sum(n for x, n in sizes.items() if x >= level)) for level in range(max(sizes, default=-1) + 1)]
     filters = [KeyFilter(common.where(F.col("df") >= least).select("k"), limit=limit, count=n) for least, n in steps]
+    discard(common)
 
     def asked_by(set_, n, digest, weight, until) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each chunk's key and document, and whether it is looked up: all but a document's most frequent chunks that together weigh
@@ -294,11 +299,10 @@ def _search(docs: DataFrame, text: str, doc_id: str, threshold: float, limit: in
     labels = held.groupBy("k").agg(F.min("set").alias("label"), F.max("set").alias("last"), F.bool_or("asks").alias("any")).where("any and label <> last").select("k", "label")
     placed = held.join(labels, "k").groupBy("set").agg(F.sort_array(F.collect_set(F.struct("label", "k", "asks"))).alias("places"))
     placed = written(placed)
-    wanted = KeyFilter(placed.select("set"), limit=limit)
+    discard(held)
     first = filters[0] if filters else None
 
-    @released
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch], wanted: KeyFilter) -> Iterator[pa.RecordBatch]:
         for set_, n_bytes, digest, weight, until in representatives(batches):
             on = np.flatnonzero(wanted.contains(set_))
             flat = ranges(until[on], np.diff(until)[on])
@@ -314,11 +318,53 @@ def _search(docs: DataFrame, text: str, doc_id: str, threshold: float, limit: in
 
     if first is None:
         return members, classes, same, spark.createDataFrame([], PAIRS if as_pairs else NUMBERS)
-    chunked = source.mapInArrow(lists, "set bigint, n_bytes bigint, k binary, w binary, more binary").dropDuplicates(["set"])
+    def chunked(sets: DataFrame) -> DataFrame:
+        wanted = KeyFilter(sets, limit=limit)
+        run = released(lambda batches: lists(batches, wanted))
+        return source.mapInArrow(run, "set bigint, n_bytes bigint, k binary, w binary, more binary").dropDuplicates(["set"])
+
+    # Places of far more documents than look up there. A document that doesn't look up needs only those chunks there that one that does
+    # has, and none where they are fewer than any such one must share.
+    asking = F.array_distinct(F.transform(F.filter("places", lambda p: p.asks), lambda p: p.label))
+    visits = placed.select("set", F.explode(F.transform(F.array_distinct("places.label"), lambda x: F.struct(x.alias("label"), F.array_contains(asking, x).alias("asks")))).alias("v")).select("set", "v.*")
+    places = visits.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("n_asking"))
+    full = places.where(F.col("n") - F.col("n_asking") >= CROWD * F.col("n_asking")).orderBy(F.col("n_asking") - F.col("n"), "label").limit(CROWDED)
+    crowds = np.sort(full.select("label").toArrow().column(0).to_numpy())
+    at_crowds = spark.sparkContext.broadcast(crowds)
+
+    @released
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_among(batch.column(1).to_numpy(), at_crowds.value)))
+
+    @released
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each document that looks up at such a place, its chunks and how many of them a document must share."""
+        for batch in batches:
+            count, _, weight = _weights(batch)
+            until = np.concatenate([[0], np.cumsum(count)])
+            least = [_least(weight[lo:hi], threshold * n) for lo, hi, n in zip(until[:-1].tolist(), until[1:].tolist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(least, pa.int32())], ["label", "k", "least"])
+
+    @released
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = np.repeat(batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy() // 6)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_at(label, _unpack(b"".join(batch.column(1).to_pylist())))))], ["h"])
+
+    askers = visits.where("asks").select("set", "label").mapInArrow(crowded, "set bigint, label bigint")
+    needed = written(chunked(askers.select("set")).join(askers, "set").select("set", "label", "n_bytes", "k", "w", "more").mapInArrow(needs, "label bigint, k binary, least int"))
+    n_needed = needed.agg(F.sum(F.length("k"))).first()[0] or 0
+    useful = KeyFilter(needed.select("label", "k").mapInArrow(pairs, "h bigint"), limit=limit, count=n_needed // 6)
+    lows = needed.groupBy("label").agg(F.min("least").alias("least")).toArrow().sort_by("label")
+    assert np.array_equal(lows.column(0).to_numpy(), crowds)
+    leasts = spark.sparkContext.broadcast(lows.column(1).to_numpy())
+    discard(needed)
 
     @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each place of a document: its chunks, those that it looks up there, and those that it looks up at earlier places."""
+        """A row for each place of a document: its chunks, those that it looks up there, and those that it looks up at earlier places.
+        Weights go only where it looks up."""
         for batch in batches:
             until = batch.column(5).offsets.to_numpy() - batch.column(5).offsets[0].as_py()
             places = batch.column(5).flatten()
@@ -329,19 +375,34 @@ def _search(docs: DataFrame, text: str, doc_id: str, threshold: float, limit: in
             packed, own = _pack(k[asks]), np.concatenate([[0], np.cumsum(asks)])
             raw, begin = packed.ravel(), own[until[row[start]]]
             here, before = own[stop] - own[start], own[start] - begin
-            take = pa.array(row[start])
+            label, row = label[start], row[start]
+            n_chunks = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // 6
+            flat = _unpack(b"".join(batch.column(2).to_pylist()))[ranges((np.cumsum(n_chunks) - n_chunks)[row], n_chunks[row])]
+            thin = (here == 0) & _among(label, at_crowds.value)
+            place = np.repeat(np.arange(len(label)), n_chunks[row])
+            asked_about = ~thin[place]
+            asked_about[~asked_about] = useful.contains(_at(label[place[~asked_about]], flat[~asked_about]))
+            flat, count = flat[asked_about], np.bincount(place[asked_about], minlength=len(label))
+            keep = ~thin
+            keep[thin] = count[thin] >= leasts.value[np.searchsorted(at_crowds.value, label[thin])]
+            flat, on = flat[np.repeat(keep, count)], np.flatnonzero(keep)
+            take, looks = pa.array(row[on]), pa.array(here[on] > 0)
             of = lambda lo, n: _blobs(raw[ranges(lo * 6, n * 6)], np.concatenate([[0], np.cumsum(n * 6)]))
-            yield pa.RecordBatch.from_arrays([pa.array(label[start]), *[batch.column(c).take(take) for c in range(5)], of(own[start], here), of(begin, before)], ["label", "set", "n_bytes", "k", "w", "more", "here", "before"])
+            kept_k = _blobs(_pack(flat).ravel(), np.concatenate([[0], np.cumsum(count[on] * 6)]))
+            heavy = [pc.if_else(looks, batch.column(c).take(take), b"") for c in (3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(label[on]), *[batch.column(c).take(take) for c in range(2)], kept_k, *heavy, of(own[start][on], here[on]), of(begin[on], np.where(here > 0, before, 0)[on])], ["label", "set", "n_bytes", "k", "w", "more", "here", "before"])
 
-    sent = chunked.join(placed, "set").select("set", "n_bytes", "k", "w", "more", "places")
+    sent = chunked(placed.select("set")).join(placed, "set").select("set", "n_bytes", "k", "w", "more", "places")
     sent = sent.mapInArrow(send, "label bigint, set bigint, n_bytes bigint, k binary, w binary, more binary, here binary, before binary")
-    # A place with too many documents is dealt by either document.
-    many = placed.select("set", F.explode(F.array_distinct("places.label")).alias("label")).groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("parts > 1")
-    dealt = sent.join(F.broadcast(many) if many.count() < 10_000 else many, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    cells = F.concat(F.transform(others, lambda q: F.struct(part.alias("i"), q.alias("j"), F.lit(True).alias("as_a"), (q == part).alias("as_b"))), F.transform(F.filter(others, lambda q: q != part), lambda q: F.struct(q.alias("i"), part.alias("j"), F.lit(False).alias("as_a"), F.lit(True).alias("as_b"))))
-    rows_ = dealt.withColumn("c", F.explode(cells)).select(F.xxhash64("label", "c.i", "c.j").alias("g"), "c.as_a", "c.as_b", "set", "n_bytes", "k", "w", "more", "here", "before")
+    # A place with too many documents is dealt by those that look up and by all.
+    many = places.where(F.col("n") > block).select("label", F.ceil(F.col("n_asking") / block).cast("int").alias("parts_a"), F.ceil(F.col("n") / block).cast("int").alias("parts_b"))
+    dealt = sent.join(F.broadcast(many) if many.count() < 10_000 else many, "label", "left").withColumns({p: F.coalesce(p, F.lit(1)) for p in ("parts_a", "parts_b")})
+    part_a, part_b = (F.pmod(F.xxhash64("set"), F.col(p)).cast("int") for p in ("parts_a", "parts_b"))
+    looks = F.length("here") > 0
+    all_a, all_b = (F.sequence(F.lit(0), F.col(p) - 1) for p in ("parts_a", "parts_b"))
+    as_asking = F.transform(F.filter(all_b, lambda q: looks), lambda q: F.struct(part_a.alias("i"), q.alias("j"), F.lit(True).alias("as_a"), (q == part_b).alias("as_b")))
+    as_held = F.transform(F.filter(all_a, lambda q: ~looks | (q != part_a)), lambda q: F.struct(q.alias("i"), part_b.alias("j"), F.lit(False).alias("as_a"), F.lit(True).alias("as_b")))
+    rows_ = dealt.withColumn("c", F.explode(F.concat(as_asking, as_held))).select(F.xxhash64("label", "c.i", "c.j").alias("g"), "c.as_a", "c.as_b", "set", "n_bytes", "k", "w", "more", "here", "before")
 
     @released
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +426,33 @@ PAIRS = "a bigint, b bigint, shared_bytes bigint, n_bytes bigint"
 NUMBERS = "set bigint, n_containing bigint, n_contained bigint, best struct<shared:bigint,b:bigint>"
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted table."""
+    at = np.searchsorted(table, values)
+    return table[np.minimum(at, len(table) - 1)] == values if len(table) else np.zeros(len(values), bool)
+
+
+def _at(label: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A hash of each chunk at a place."""
+    return mix(mix(label.view(np.uint64)) + k.view(np.uint64)).view(np.int64)
+
+
+def _least(weight: np.ndarray, goal: float) -> int:
+    """The fewest chunks that can weigh as much as the goal; more than there are if all don't."""
+    return int(np.searchsorted(np.cumsum(-np.sort(-weight)), goal)) + 1
+
+
+def _weights(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of each document's chunks, the chunks, and their weights (0 where none are sent), of columns k, w and more."""
+    keys, w, more = (b"".join(table.column(c).to_pylist()) for c in ("k", "w", "more"))
+    count, weighed = (pc.binary_length(table.column(c)).to_numpy().astype(np.int64) // unit for c, unit in (("k", 6), ("w", 1)))
+    sent = np.frombuffer(w, np.uint8).astype(np.int64)
+    sent[sent == 255] = np.frombuffer(more, "<i8")
+    weight = np.zeros(int(count.sum()), np.int64)
+    weight[np.repeat(weighed > 0, count)] = sent
+    return count, _unpack(keys), weight
+
+
 def _sets(digest: np.ndarray, weight: np.ndarray, until: np.ndarray) -> np.ndarray:
     """A hash of each document's chunks and weights."""
     value = mix(digest.view(np.uint64) + weight.astype(np.uint64) * U(_SPREAD | 1))
@@ -381,13 +469,11 @@ def _meet(table: pa.Table, threshold: float, as_pairs: bool) -> Iterator[pa.Reco
     n_rows = table.num_rows
     g, name, n = (table.column(c).to_numpy() for c in ("g", "set", "n_bytes"))
     as_a, as_b = (table.column(c).to_numpy(zero_copy_only=False) for c in ("as_a", "as_b"))
-    keys, w, more, here, before = (b"".join(table.column(c).to_pylist()) for c in ("k", "w", "more", "here", "before"))
+    here, before = (b"".join(table.column(c).to_pylist()) for c in ("here", "before"))
     size = lambda c, unit: pc.binary_length(table.column(c)).to_numpy().astype(np.int64) // unit
-    count = size("w", 1)
+    count, keys, weight = _weights(table)
     until = np.concatenate([[0], np.cumsum(count)])
-    weight = np.frombuffer(w, np.uint8).astype(np.int64)
-    weight[weight == 255] = np.frombuffer(more, "<i8")
-    values, chunk = np.unique(_unpack(keys), return_inverse=True)
+    values, chunk = np.unique(keys, return_inverse=True)
     row = np.repeat(np.arange(n_rows), count)
     # Postings of the chunks that are looked up here.
     own_k, own_until = np.searchsorted(values, _unpack(here)), np.concatenate([[0], np.cumsum(size("here", 6))])

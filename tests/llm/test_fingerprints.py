@@ -116,6 +116,29 @@ def test_near_copies_are_found(spark):
     assert {(r.doc_id, r.in_doc_id) for r in got.collect()} == want
 
 
+def test_a_crowd_sends_only_what_is_asked_for(spark, monkeypatch):
+    """Few short texts look up parts of a passage that 200 documents have and don't look up."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    shared = text(300)
+    part = shared[:600]
+    rows = [(n, text(700) + " " + (shared if n % 2 else shared[500:])) for n in range(200)]
+    rows += [(200, part + " " + text(20)), (201, part[:500] + " " + text(20)), (202, text(30)), (203, "short"), (None, "short")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    sets = {i: dict(zip(r.digests, r.sizes)) for r in C.fingerprints(docs).collect() for i in [r.doc_id] if i is not None}
+    inside = lambda a, b: a != b and sum(w for d, w in sets[a].items() if d in sets[b]) >= C.THRESHOLD * sum(sets[a].values())
+    met, frame = [], type(docs)
+    sort = frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *by, **how: met.append(self) or sort(self, *by, **how))
+    for options in ({}, {"limit": 16, "block": 7}):
+        got = {r.doc_id: r for r in C.links(docs, **options).collect() if r.doc_id is not None}
+        for i in sets:
+            assert (got[i].n_containing, got[i].n_contained) == (sum(inside(i, x) for x in sets), sum(inside(x, i) for x in sets))
+        assert got[200].n_containing == got[201].n_containing == 101
+    sent = met[0].selectExpr("count(*) AS n", "sum(length(k) + length(w)) AS size").first()
+    assert sent.n < 300 and sent.size < 60_000  # whole documents to each: 367 and 184,702
+
+
 def test_empty(spark):
     assert C.containments(spark.createDataFrame([], SCHEMA)).count() == 0
     assert not len(C.gear(np.zeros(0, np.uint8)))
