@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import col, cut, fresh, released, small_batches
 from .kernels import Two
@@ -171,4 +172,7 @@ def accept(docs: DataFrame, model: Model, text: str = "text", reject: float = RE
         for batch in batches:
             yield batch.filter(pa.array([not model.classify(t.as_py(), reject)[3] for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # mapInArrow looks columns up by name, and not all names can be looked up.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(c, f.dataType, f.nullable, f.metadata) for c, f in zip(plain, docs.schema)])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns)
