@@ -102,6 +102,17 @@ def blocking_recall(gold_pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return n.select("*", F.round(ratio(F.col("n_found"), F.col("n_gold")), 6).alias("recall"))
 
 
+def group_recall(membership: DataFrame, group: str, candidates: DataFrame) -> DataFrame:
+    """``blocking_recall`` of all pairs of a group, counted from the groups' sizes: pairs aren't made. candidates: a < b, with the
+    groups of both ends as group_a and group_b. Entities of several groups, whose pairs could count twice, go by the pairs."""
+    own = membership.select("entity_id", group).dropna().distinct()
+    if not own.groupBy("entity_id").count().where("count > 1").isEmpty():
+        return blocking_recall(positive_pairs(own, group), candidates)
+    n = own.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.expr("coalesce(sum(n * (n - 1) div 2), 0)").alias("n_gold"))
+    found = candidates.where(F.col(f"{group}_a") == F.col(f"{group}_b")).select("a", "b").distinct().agg(F.count(F.lit(1)).alias("n_found"))
+    return n.crossJoin(found).select("*", F.round(ratio(F.col("n_found"), F.col("n_gold")), 6).alias("recall"))
+
+
 def running_sums(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
     """rows with running sums (new column: summed column) from the largest ``order`` on, whose values are distinct.
 
