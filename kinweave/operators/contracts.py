@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .graph import ensure_checkpoints
 from .resolution import route
 
 TYPES = ["COMM", "FIN", "ITEM", "LOC", "ORG", "PER", "VEH"]
@@ -74,6 +75,21 @@ def unique(*keys: str) -> Column:
     return F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1
 
 
+#: Tasks that look for hashes that repeat, so that the rows of one fit its memory, and hashes that are broadcast at most (8 MB).
+HASH_TASKS, HASHES = 960, 1 << 20
+
+
+def repeated(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """keys (as strings), rule for each row whose keys another row has: as ``unique``, but only 8 bytes of each row shuffle, in a
+    job of its own; rows whose hash comes once, as nearly all do where keys are unique, never meet."""
+    ensure_checkpoints(df.sparkSession)
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("h"))
+    again = hashed.select("h").repartition(HASH_TASKS, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h").checkpoint()
+    few = again.count() <= HASHES
+    suspects = hashed.join(F.broadcast(again) if few else again, "h", "left_semi").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return suspects.where("n > 1").select(*[F.col(k).cast("string").alias(k) for k in keys], F.lit(rule).alias("rule"))
+
+
 def check_docs(df: DataFrame) -> DataFrame:
     pages = F.col("page_count").isNull() | (F.col("page_count") >= 0)
     return violations(df, ["run_id", "doc_id", "path"], {
@@ -99,11 +115,12 @@ def check_entities(df: DataFrame) -> DataFrame:
 
 def check_candidate_pairs(df: DataFrame) -> DataFrame:
     m, n = F.col("blocking_methods"), F.col("blocking_method_count")
-    return violations(df, ["run_id", "entity_id_a", "entity_id_b"], {
+    keys = ["run_id", "entity_id_a", "entity_id_b"]
+    return repeated(df, keys, "unique pair").unionByName(violations(df, keys, {
         "run_id": is_plain("run_id"), "entity_id_a": is_hex32("entity_id_a"), "entity_id_b": is_hex32("entity_id_b"), "order": F.col("entity_id_a") < F.col("entity_id_b"),
         "sorted methods": is_sorted_set(m), "known methods": F.forall(m, lambda x: x.isin(METHODS)), "source": one_of("blocking_source", [*METHODS, "multi"]), "count range": n.between(1, 5),
-        "count": n == F.size(m), "source of methods": F.when(F.size(m) > 1, F.col("blocking_source") == "multi").otherwise(F.col("blocking_source") == F.get(m, 0)), "unique pair": unique("run_id", "entity_id_a", "entity_id_b"),
-    })
+        "count": n == F.size(m), "source of methods": F.when(F.size(m) > 1, F.col("blocking_source") == "multi").otherwise(F.col("blocking_source") == F.get(m, 0)),
+    }))
 
 
 def shap_rules(c: str = "shap_top5") -> Rules:
