@@ -12,6 +12,8 @@ from ..functions.names import hash_id
 from .contracts import TYPES, missing_references
 
 MOST, POSITIVE_RATE, SEED, DIM = 2500, 0.15, 7, 768
+#: Members of a group that stand in a row, and tasks that make pairs.
+BLOCK, TASKS = 2048, 256
 GROUPS = "group_id string, entity_type string, doc_ids array<string>, variants array<struct<text:string,normalized:string,context:string>>"
 
 
@@ -41,17 +43,42 @@ def training_pairs(entities: DataFrame, hard_negatives: DataFrame | None = None,
     """entity_id_a, entity_id_b, label of pairs of one type: positives by a seeded hash, then negatives to a share of ``rate``
     positives, those of hard pairs of groups (group_id_a, group_id_b) first, ``most`` in all."""
     x = entities.select("type", "entity_id", "group_id")
-    pairs = x.toDF("type", "entity_id_a", "ga").join(x.toDF("type", "entity_id_b", "gb"), "type").where("entity_id_a < entity_id_b")
-    pairs = pairs.withColumn("label", (F.col("ga") == F.col("gb")).cast("tinyint")).withColumn("hard", F.lit(False))
+    h = None
     if hard_negatives is not None:
-        h = hard_negatives.select(F.least("group_id_a", "group_id_b").alias("lo"), F.greatest("group_id_a", "group_id_b").alias("hi")).distinct().withColumn("is_hard", F.lit(True))
-        pairs = pairs.withColumns({"lo": F.least("ga", "gb"), "hi": F.greatest("ga", "gb")}).join(h, ["lo", "hi"], "left").withColumn("hard", F.coalesce("is_hard", F.lit(False)))
-    order = Window.partitionBy("label").orderBy(F.desc("hard"), F.xxhash64("entity_id_a", "entity_id_b", F.lit(seed)), "entity_id_a", "entity_id_b")
-    ranked = pairs.withColumn("rank", F.row_number().over(order))
-    n = ranked.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n")).first().n
+        h = hard_negatives.select(F.least("group_id_a", "group_id_b").alias("lo"), F.greatest("group_id_a", "group_id_b").alias("hi")).distinct()
+    of = x.groupBy("type", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    twice = not x.groupBy("type", "group_id", "entity_id").count().where("count > 1").isEmpty()
+    # Each group beside each of its type, and blocks of their members by the hash of the ids: no type's members meet in one task.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = x.join(of, ["type", "group_id"]).groupBy("type", "group_id", F.pmod(F.xxhash64("entity_id"), blocks).alias("i")).agg(F.collect_list("entity_id").alias("ids"))
+    a = members.select("type", F.col("group_id").alias("ga"), F.col("ids").alias("ids_a"))
+    b = members.select("type", F.col("group_id").alias("gb"), F.col("ids").alias("ids_b"))
+    met = a.join(b, "type").withColumn("label", (F.col("ga") == F.col("gb")).cast("tinyint"))
+    if h is not None:
+        met = met.withColumns({"lo": F.least("ga", "gb"), "hi": F.greatest("ga", "gb")}).join(h.withColumn("is_hard", F.lit(True)), ["lo", "hi"], "left").withColumn("hard", F.coalesce("is_hard", F.lit(False)))
+    else:
+        met = met.withColumn("hard", F.lit(False))
+    met = met.select("ids_a", "ids_b", "label", "hard").repartition(TASKS, F.xxhash64("ids_a", "ids_b"))
+    pairs = met.select("*", F.explode("ids_a").alias("entity_id_a")).select("*", F.explode("ids_b").alias("entity_id_b")).where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b", "label", "hard")
+    order = [F.desc("hard"), F.xxhash64("entity_id_a", "entity_id_b", F.lit(seed)), "entity_id_a", "entity_id_b"]
+    if twice:
+        n, every = pairs.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("every")).first()
+    else:
+        n, every = of.groupBy("type").agg(F.expr("sum(n * (n - 1) div 2)").alias("n"), F.sum("n").alias("t")).agg(F.expr("coalesce(sum(n), 0)"), F.expr("coalesce(sum(t * (t - 1) div 2), 0)")).first()
     positives = min(int(n), int(most * rate))
     negatives = min(most - positives, round(positives * (1 - rate) / rate))
-    return ranked.where(F.when(F.col("label") == 1, F.col("rank") <= positives).otherwise(F.col("rank") <= negatives)).select("entity_id_a", "entity_id_b", "label")
+
+    def first(label: int, k: int, among: int) -> DataFrame:
+        """The first k of a label's pairs; only those of the smallest hashes are put in order, where these are k at least."""
+        own = pairs.where(F.col("label") == label)
+        share = (2 * k + 100) / max(among, 1)
+        if h is None and share < 0.5:
+            low = own.where(F.xxhash64("entity_id_a", "entity_id_b", F.lit(seed)) <= F.lit(-(1 << 63) + int(share * (1 << 64))))
+            if low.limit(k).count() >= k:
+                own = low
+        return own.orderBy(*order).limit(k)
+
+    return first(1, positives, int(n)).unionByName(first(0, negatives, int(every) - int(n))).select("entity_id_a", "entity_id_b", "label")
 
 
 def group_vectors(entities: DataFrame, dim: int = DIM, noise: float = 0.35, seed: int = SEED) -> DataFrame:
