@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import isfinite
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .graph import ensure_checkpoints
 
 NO_GROUP, MANY_GROUPS = "__fp__:", "__ambiguous__:"
 DRIFT = dict.fromkeys(("bcubed_f0_5", "bcubed_f1", "pairwise_f0_5", "pairwise_f1"), 0.03) | dict.fromkeys(("nmi", "ari"), 0.05)
+#: Tasks of a join that makes pairs of what agrees.
+WITHIN_TASKS = 256
 SPAN = "doc_id entity_type char_start char_end".split()
 
 
@@ -96,6 +100,15 @@ def labels_from_gold(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return out.select("entity_id_a", "entity_id_b", (F.col("ga") == F.col("gb")).cast("tinyint").alias("label"))
 
 
+def labels_within(entities: DataFrame, on: list[str], groups: DataFrame) -> DataFrame:
+    """``labels_from_gold`` of all pairs a < b that agree in the columns ``on``: entities without one group are left out and the others
+    get theirs before pairs are made, so that no pair is looked up."""
+    fine = entities.join(groups.where(labelable(F.col("gold_group"))), "entity_id").repartition(WITHIN_TASKS, *on)
+    side = lambda s: fine.select(*on, F.col("entity_id").alias(f"entity_id_{s}"), F.col("gold_group").alias(f"g{s}"))
+    out = side("a").join(side("b"), on).where("entity_id_a < entity_id_b")
+    return out.select("entity_id_a", "entity_id_b", (F.col("ga") == F.col("gb")).cast("tinyint").alias("label"))
+
+
 def blocking_recall(gold_pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     hit = candidates.select("a", "b").distinct().withColumn("hit", F.lit(1))
     n = gold_pairs.distinct().join(hit, ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n_gold"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"))
@@ -220,12 +233,20 @@ def place_in(text: str, mentions: list[tuple[int, int, str]], back: int = 256) -
 def realigned(gold: DataFrame, texts: DataFrame) -> DataFrame:
     """gold with char_start and char_end in the documents' own texts (doc_id, text); null where a mention isn't found."""
 
-    def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["char_start", "char_end", "mention_id"])
-        found = place_in(own.text.iloc[0] or "" if len(own) else "", list(zip(rows.char_start.astype(int), rows.char_end.astype(int), rows.text.fillna(""))))
-        return rows.assign(char_start=pd.array([f and f[0] for f in found], "Int32"), char_end=pd.array([f and f[1] for f in found], "Int32"))
+    arrow = to_arrow_schema(gold.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for mentions, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = place_in(text or "", [(int(m["m"]["char_start"]), int(m["m"]["char_end"]), m["m"]["text"] or "") for m in mentions])
+                out += [m["m"] | {"char_start": f and f[0], "char_end": f and f[1]} for m, f in zip(mentions, found)]
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return gold.groupBy("doc_id").cogroup(texts.select("doc_id", "text").groupBy("doc_id")).applyInPandas(run, gold.schema)
+    order = F.struct("char_start", "char_end", "mention_id", F.struct(*gold.columns).alias("m"))
+    own = gold.groupBy(F.col("doc_id").alias("own_id")).agg(F.array_sort(F.collect_list(order)).alias("mentions"))
+    text = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
+    return own.join(text, F.col("own_id").eqNullSafe(F.col("doc_id")), "left").select("mentions", "text").mapInArrow(run, gold.schema)
 
 
 def macro_average(folds: DataFrame, metrics: list[str]) -> DataFrame:
